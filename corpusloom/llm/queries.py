@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import line_dedup, mixing
+from corpusloom.llm import bpe, line_dedup, mixing, token_output
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Where the installed public tokenizers keep a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"), min_lines=2, detail=True)
     return docs.select(
@@ -25,6 +32,15 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_output.write_tokens(_read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return token_output.digest_tokens(shards)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest_documents(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(_read(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -32,5 +48,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_token_output": op2_token_output,
+    "op7_bpe": op7_bpe,
     "op10_mixing": op10_mixing,
 }
