@@ -16,7 +16,7 @@ SHINGLE = 5
 CHUNK_BYTES = 1 << 20
 CHUNK_DOCS = 512
 _BASE = 0x9E3779B97F4A7C15 | 1
-_STEP = np.uint64(0xD6E8FEB86659FD93)
+STEP = np.uint64(0xD6E8FEB86659FD93)
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
@@ -60,7 +60,7 @@ def words(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros(len(joined) + 1, np.uint64)
     np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * _powers[: len(joined)], out=sums[1:])
     hashes = (sums[stop] - sums[start]) * _inverses[start]
-    hashes = mix64(hashes + (stop - start).astype(np.uint64) * _STEP)
+    hashes = mix64(hashes + (stop - start).astype(np.uint64) * STEP)
     # a text's bytes begin one past the space before it
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     begins = np.concatenate(([1], 1 + np.cumsum(lengths + 1)))
@@ -82,5 +82,5 @@ def shingles(texts: Sequence[bytes], k: int = SHINGLE) -> tuple[np.ndarray, np.n
     padded = np.concatenate((w, np.zeros(k, np.uint64)))
     for j in range(k):
         here = padded[at + j]
-        total = np.where(length > j, total * _STEP + here, total)
+        total = np.where(length > j, total * STEP + here, total)
     return mix64(total), counts
