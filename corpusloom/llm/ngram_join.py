@@ -31,7 +31,6 @@ rows with a null id can link others; repeated rows are in one component.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 from collections.abc import Iterator
@@ -41,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm import shingles
+from corpusloom.llm import keyfilter, shingles
 from corpusloom.llm.components import components
 from corpusloom.llm.scratch import Scratch
 
@@ -51,7 +50,6 @@ PIECE = 20_000
 #: The most frequent shingles that the order puts last; the list is sent to all tasks.
 FREQUENT = 1 << 16
 _WINDOW = 1 << 21
-_FILTER_BITS = 1 << 24
 
 
 def _sets(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -117,7 +115,7 @@ def _divider(often: np.ndarray, counts: np.ndarray, percent: int):
     return run
 
 
-def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Frames of whole groups of adjacent rows with equal keys, from sorted rows."""
     rest: pd.DataFrame | None = None
     for batch in batches:
@@ -216,7 +214,7 @@ def _pairs(percent: int):
     """From pieces of lists: for each class those before it that could link, by list."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _runs(batches, ["shingle", "low", "high"]):
+        for rows in whole_groups(batches, ["shingle", "low", "high"]):
             out = {"x": [], "n": [], "ys": [], "ns": []}
             key = rows[["shingle", "low", "high"]].to_numpy()
             edges = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
@@ -250,7 +248,7 @@ def _merge(percent: int):
     """Candidates of each class: those that occur often enough in its lists, merged by a heap."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _runs(batches, ["x"]):
+        for rows in whole_groups(batches, ["x"]):
             x, y, hits = [], [], []
             for cls, own in rows.groupby("x", sort=False):
                 size, merged = int(own["n"].iloc[0]), heapq.merge(*(zip(a.tolist(), b.tolist(), strict=True) for a, b in zip(own["ys"], own["ns"], strict=True)))
@@ -270,34 +268,15 @@ def _merge(percent: int):
     return run
 
 
-def _filter_places(cls: np.ndarray) -> np.ndarray:
-    c = cls.view(np.uint64)
-    return np.concatenate([shingles.mix64(c + np.uint64(k)) % np.uint64(_FILTER_BITS) for k in range(3)]).astype(np.int64)
-
-
-def _filter_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    bits = np.zeros(_FILTER_BITS, bool)
-    some = False
-    for batch in batches:
-        bits[_filter_places(batch["cls"].to_numpy(np.int64))] = True
-        some |= len(batch) > 0
-    if some:
-        yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
-
-
-def _either(parts: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"bits": [functools.reduce(np.bitwise_or, (np.frombuffer(b, np.uint8) for b in parts["bits"])).tobytes()]})
-
-
 def _collector(bits: bytes):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted, seen = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool), set()
+        wanted, seen = keyfilter.opened(bits), set()
         for batch in batches:
             found, classes = [], []
             for s in _sets([t.encode() for t in batch["text"]]):
                 if len(s):
                     k = _class_of(s)
-                    if k not in seen and wanted[_filter_places(np.array([k], np.int64))].all():
+                    if k not in seen and keyfilter.passes(wanted, np.array([k], np.int64))[0]:
                         if len(seen) < 1 << 20:
                             seen.add(k)
                         found.append(s.view(np.int64))
@@ -351,10 +330,8 @@ class _Join:
     def sets(self, pairs: DataFrame) -> DataFrame:
         """(cls, members) of at least the classes in ``pairs``, from the texts, by a filter of fixed size."""
         wanted = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct()
-        parts = wanted.mapInPandas(_filter_part, "bits binary").coalesce(64)
-        bits = parts.groupBy(F.spark_partition_id().alias("p")).applyInPandas(_either, "bits binary")
-        whole = functools.reduce(lambda a, b: np.bitwise_or(a, np.frombuffer(b["bits"], np.uint8)), bits.collect(), np.zeros(_FILTER_BITS // 8, np.uint8))
-        found = self.texts.select("text").mapInPandas(_collector(whole.tobytes()), "cls long, members array<long>")
+        bits = keyfilter.build(wanted.withColumnRenamed("cls", "key"))
+        found = self.texts.select("text").mapInPandas(_collector(bits), "cls long, members array<long>")
         exact = found.join(wanted.withColumnRenamed("cls", "w"), F.col("cls") == F.col("w"), "left_semi")
         return self.scratch.table(exact.groupBy("cls").agg(F.first("members").alias("members")))
 

@@ -69,10 +69,36 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+SUFFIX_DEDUP = r"""
+WITH worded AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^ 	-]+') AS w
+    FROM documents
+), windows AS (
+    SELECT doc_id, unnest(range(0, len(w) - 49)) AS p,
+           unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' ')))) AS h
+    FROM worded WHERE len(w) >= 50
+), matched AS (
+    SELECT doc_id, p, n > 1 AND r > 1 AS later
+    FROM (SELECT *, count(*) OVER (PARTITION BY h) AS n, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS r FROM windows)
+    WHERE n > 1
+), ordered AS (
+    SELECT *, max(p) OVER before + 50 AS far, max(CASE WHEN later THEN p END) OVER before + 50 AS far_later
+    FROM matched WINDOW before AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), marked AS (
+    SELECT *, sum(CASE WHEN far >= p THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run,
+           CASE WHEN later THEN least(50, coalesce(p + 50 - far_later, 50)) ELSE 0 END AS more
+    FROM ordered
+)
+SELECT doc_id, min(p)::INTEGER AS start, (max(p) + 50)::INTEGER AS stop, sum(more)::BIGINT AS n_later
+FROM marked GROUP BY doc_id, run
+"""
+
 NGRAM_JOIN = r"""
 WITH RECURSIVE worded AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                      '[^ 	-]+') AS w
+                                      '[^ 	-
+]+') AS w
     FROM documents
 ), shingles AS (
     SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
@@ -112,6 +138,7 @@ FROM scored QUALIFY rank <= 20
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": LINE_DEDUP,
+    "op4_suffix_dedup": SUFFIX_DEDUP,
     "op5_ngram_join": NGRAM_JOIN,
     "op9_topk": TOPK,
     "op10_mixing": MIXING,
