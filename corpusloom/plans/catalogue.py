@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import telemetry, versioning
+from corpusloom.plans import retrieval, telemetry, versioning
 
-_AREAS = (telemetry, versioning)
+_AREAS = (telemetry, versioning, retrieval)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for area in _AREAS for k, f in area.QUERIES.items()}
 ORACLES: dict[str, str] = {k: sql for area in _AREAS for k, sql in area.ORACLES.items()}
-FLAGSHIP = "node_stats"
+FLAGSHIP = "hybrid_retrieval"
