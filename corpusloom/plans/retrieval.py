@@ -180,8 +180,8 @@ SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY ran
     "hybrid_retrieval": f"""WITH {_BM25}, {_DENSE.format('')}, {_FUSED.format('0.5')}, o AS (SELECT query_id, chunk_id, rank, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS k FROM fused JOIN d USING (chunk_id) WHERE rank <= 20)
 SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM o WHERE k <= 3 QUALIFY rank <= 5""",
     "rerank_threshold_fallback": f"""WITH {_BM25}, cj AS (SELECT query_id, chunk_id, question, {_PASS} AS t FROM {_JOINED} WHERE rank <= {K}),
-p AS (SELECT *, CASE WHEN length(t) <= 200 THEN t ELSE substr(t, 1, 133) || right(t, 67) END AS passage FROM cj WHERE t <> ''),
-z AS (SELECT query_id, chunk_id, round(1 / (1 + exp(-((len(list_intersect({_TOK.format('question')}, {_TOK.format('passage')})) - 12) / 2.0::DOUBLE))), 6) AS score FROM p),
+pp AS (SELECT *, CASE WHEN length(t) <= 200 THEN t ELSE substr(t, 1, 133) || right(t, 67) END AS passage FROM cj WHERE t <> ''),
+z AS (SELECT query_id, chunk_id, round(1 / (1 + exp(-((len(list_intersect({_TOK.format('question')}, {_TOK.format('passage')})) - 12) / 2.0::DOUBLE))), 6) AS score FROM pp),
 m AS (SELECT *, max(score) OVER (PARTITION BY query_id) < 0.5 AS fallback FROM z)
 SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, fallback FROM m WHERE score >= 0.5 OR fallback QUALIFY rank <= 5""",
     "query_overlap_filter": f"""WITH {_BM25}, cj AS (SELECT query_id, chunk_id, rank, text, list_filter({_TOK.format('question')}, lambda t: length(t) >= 2) AS every FROM {_JOINED} WHERE rank <= {K}),
