@@ -43,8 +43,8 @@ def source_targets(
 
     Targets share ``share`` times all sizes by weight, stop at ``most`` times the source's
     size, and what lies above is shared anew. Sources in order of the level at which they
-    fill up make that a prefix sum: the first that doesn't fill up gives the level. The
-    window holds one small row per source, never documents.
+    fill up make that a prefix sum: the first that doesn't fill up gives the level, the
+    highest of those that don't. The window holds one small row per source, never documents.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     scale = 1
@@ -68,7 +68,7 @@ def source_targets(
     )
     s = s.withColumn(
         "water",
-        F.min(F.when(F.col("cap") >= F.col("weight") * F.col("level"), F.col("level"))).over(everything),
+        F.max(F.when(F.col("cap") >= F.col("weight") * F.col("level"), F.col("level"))).over(everything),
     )
     target = F.least(F.col("cap").cast("double"), F.col("weight") * F.coalesce("water", F.lit(float("inf"))))
     s = s.select("source", "source_size", target.alias("target"))

@@ -53,7 +53,7 @@ WITH sized AS (
               / (sum(weight) OVER (ORDER BY cap * 10 // weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
     FROM weighed
 ), water AS (
-    SELECT min(level) AS water FROM levels WHERE cap >= weight * level
+    SELECT max(level) AS water FROM levels WHERE cap >= weight * level
 ), rates AS (
     SELECT source, source_size, least(cap::DOUBLE, weight * coalesce(water, 'inf'::DOUBLE)) AS target,
            ('0x' || substr(md5('mix:' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS shift
@@ -72,7 +72,8 @@ FROM placed
 SUFFIX_DEDUP = r"""
 WITH worded AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                      '[^ 	-]+') AS w
+                                      '[^ 	-
+]+') AS w
     FROM documents
 ), windows AS (
     SELECT doc_id, unnest(range(0, len(w) - 49)) AS p,
