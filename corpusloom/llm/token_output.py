@@ -11,6 +11,9 @@ first; rows with equal doc_ids follow by a digest of the text; no rows give no s
 
 from __future__ import annotations
 
+import functools
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +27,22 @@ from corpusloom.llm.scratch import Scratch
 
 SHARD_IDS = 1 << 20
 SHARD_DOCS = 1 << 16
-CACHED_WORDS = 1 << 19
+CACHED_WORDS = 1 << 20
+
+
+#: A comma or full stop at a word's end that isn't a token of its own.
+_AFTER_MARK = re.compile(r"[^0-9a-z\u00df-\u00f6\u00f8-\u00ff ][.,] ")
+
+
+def _is_latin(text: str) -> bool:
+    """Whether all characters are below U+0100."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class WordEncoder:
@@ -69,7 +87,12 @@ class WordEncoder:
             self.cache.update(zip(part, self._ids(part), strict=True))
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        if _is_latin(text) and "<|" not in text:  # such a text is lower-cased alike as a whole
+            text = text.lower()
+            if not _AFTER_MARK.search(text):
+                text = text.replace(". ", " . ").replace(", ", " , ")
+        words = text.split(" ")
         found = list(map(self.cache.get, words))
         if None in found:
             missing = [k for k, f in enumerate(found) if f is None]
@@ -78,7 +101,7 @@ class WordEncoder:
                 w = words[k]
                 if w[-1] in self.marks and w[-2:-1].isalnum() and w[-2] < "\u0130":
                     w = w[:-1]
-                bare.append(w.lower() if w.isascii() else w)
+                bare.append(w.lower() if w.isascii() and "<|" not in w else w)  # added tokens keep their case
             new = [w for w in dict.fromkeys(bare) if w not in self.cache]
             if new:
                 before = len(self.cache)
@@ -91,14 +114,18 @@ class WordEncoder:
         return b"".join(found)
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker, which keeps its cache from task to task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordEncoder(path)
+
+
 def _shards(path: str, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, docs, texts, size, part, shard, at = WordEncoder(path), [], [], 0, None, 0, 0
+        coder, docs, texts, size, part, shard, at = encoder(path), [], [], 0, None, 0, 0
 
         def image():
             ids = np.frombuffer(b"".join(texts), "<u4").astype(np.uint64)
@@ -109,7 +136,7 @@ def _shards(path: str, end_id: int):
             for p, doc, known, text in zip(batch["part"], batch["doc"], batch["known"], batch["text"], strict=True):
                 part = p
                 docs.append(int(doc) if known else None)
-                texts.append(encoder.encode(text) + end)
+                texts.append(coder.encode(text) + end)
                 size += len(texts[-1]) // 4
                 if size >= SHARD_IDS or len(docs) >= SHARD_DOCS:
                     yield image()
