@@ -178,7 +178,7 @@ ORACLES = {
     "source_diversity": f"""WITH {_BM25}, o AS (SELECT query_id, chunk_id, rank, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS k FROM ranked JOIN d USING (chunk_id) WHERE rank <= 20)
 SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM o WHERE k = 1""",
     "hybrid_retrieval": f"""WITH {_BM25}, {_DENSE.format('')}, {_FUSED.format('0.5')}, o AS (SELECT query_id, chunk_id, rank, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS k FROM fused JOIN d USING (chunk_id) WHERE rank <= 20)
-SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM o WHERE k <= 3 QUALIFY rank <= 5""",
+SELECT query_id, chunk_id, n AS rank FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM o WHERE k <= 3) WHERE n <= 5""",
     "rerank_threshold_fallback": f"""WITH {_BM25}, cj AS (SELECT query_id, chunk_id, question, {_PASS} AS t FROM {_JOINED} WHERE rank <= {K}),
 pp AS (SELECT *, CASE WHEN length(t) <= 200 THEN t ELSE substr(t, 1, 133) || right(t, 67) END AS passage FROM cj WHERE t <> ''),
 z AS (SELECT query_id, chunk_id, round(1 / (1 + exp(-((len(list_intersect({_TOK.format('question')}, {_TOK.format('passage')})) - 12) / 2.0::DOUBLE))), 6) AS score FROM pp),
