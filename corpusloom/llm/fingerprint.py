@@ -13,15 +13,15 @@ itself (1) and unlike any other (0); a text of 1 to 4 words is one shingle.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import shingles
-from corpusloom.llm.scratch import Scratch
 
 BINS = 512
 BITS = 4
@@ -145,69 +145,62 @@ _GROUP_CHARS = 1 << 20
 
 
 def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of a sorted partition compared with the next; its first and last text as edges."""
+    """Rows of sorted ranges compared with the next; a range ends with the first row of the one after it."""
     ids: list = []
     texts: list[str] = []
-    size, part, first = 0, None, None
-
-    def edge(kind: int, doc, text: str) -> pd.DataFrame:
-        return pd.DataFrame({"part": [part], "edge": [kind], "doc_id": [doc], "edge_text": [text]})
-
+    size, now, ended = 0, None, False
     for batch in batches:
-        for p, doc, text in zip(batch["part"], batch["doc_id"], batch["text"], strict=True):
-            part = p
-            if first is None:
-                first = (doc, text)
+        for b, follows, doc, text in zip(batch["range"], batch["follows"], batch["doc_id"], batch["text"], strict=True):
+            if b != now:
+                ids, texts, size, now, ended = [], [], 0, b, False
+            if follows:
+                if not ended:
+                    yield _rows(ids, texts, [*texts[1:], text])
+                ended = True
+                continue
             ids.append(doc)
             texts.append(text)
             size += len(text)
             if size >= _GROUP_CHARS and len(ids) > 1 or len(ids) > 2048:
-                yield _rows(ids[:-1], texts[:-1], texts[1:]).assign(part=part, edge=0, edge_text=None)
+                yield _rows(ids[:-1], texts[:-1], texts[1:])
                 ids, texts, size = ids[-1:], texts[-1:], len(texts[-1])
-    if ids:
-        if len(ids) > 1:
-            yield _rows(ids[:-1], texts[:-1], texts[1:]).assign(part=part, edge=0, edge_text=None)
-        yield edge(1, *first)
-        yield edge(2, ids[-1], texts[-1])
 
 
-def _at_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        if len(batch):
-            yield _rows(list(batch["doc_id"]), list(batch["text"]), list(batch["following"]))
+def _range_of(at: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts lie above; found in every step-th of them, then between two of those."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+    whole, coarse = F.lit(cuts), F.lit(cuts[::step])
+    block = F.size(F.filter(coarse, lambda c: c <= at)) - 1
+    below = block * step + F.size(F.filter(F.slice(whole, block * step + 1, F.lit(step)), lambda c: c <= at))
+    return F.lit(len(cuts)) - F.when(block < 0, 0).otherwise(below)
 
 
-def compare_with_next(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def compare_with_next(docs: DataFrame) -> DataFrame:
     """Every document with its edited text and the next document in descending doc_id.
 
-    Texts move once, to a range partition of descending doc_id (null last, ties by a digest
-    of the text); there each row's next is the row below. A partition's last row needs the
-    first text of the next partition that has rows; those two texts a partition are kept
-    aside and joined. After the last document comes the first.
+    doc_id is cut into ranges at quantiles, and texts move once, to their range (null last,
+    ties by a digest of the text); there each row's next is the row below. The first row of a
+    range also goes to the range before it, and the very first one to the last.
     """
-    scratch = scratch or Scratch(docs.sparkSession, "prints")
+    spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    order = [F.col("_id").desc_nulls_last(), F.col("_tie").asc()]
-    rows = docs.select(F.col("doc_id").alias("_id"), text.alias("text"), F.xxhash64(text).alias("_tie"))
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = rows.select(F.spark_partition_id().alias("part"), F.col("_id").cast("string").alias("doc_id"), "text")
-    schema = f"{_ROW}, part int, edge int, edge_text string"
-    empty = {c.split()[0]: None for c in _ROW.split(", ")}
-
-    def run(batches):
-        for out in _in_order(batches):
-            missing = {k: None for k in (*empty, "edge_text") if k not in out.columns}
-            yield out.assign(**missing)[[*empty, "part", "edge", "edge_text"]]
-
-    done = scratch.table(rows.mapInPandas(run, schema))
-    edges = done.filter("edge > 0").select("part", "edge", "doc_id", "edge_text")
-    last = edges.filter("edge = 2").select("part", "doc_id", F.col("edge_text").alias("text"))
-    first = edges.filter("edge = 1").select(F.col("part").alias("of_part"), F.col("edge_text").alias("following"))
-    # one row a partition: which one comes next
-    turn = last.select("part").withColumn(
-        "of_part", F.coalesce(F.lead("part").over(W.orderBy("part")), F.min("part").over(W.partitionBy(F.lit(0))))
-    )
-    pairs = last.join(turn, "part").join(first, "of_part").select("doc_id", "text", "following")
-    columns = list(empty)
-    whole = done.filter("edge = 0").select(*columns).unionByName(pairs.mapInPandas(_at_edges, _ROW))
-    return whole.withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = docs.select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("long").alias("at"),
+        F.xxhash64(text).alias("tie"), text.alias("text"),
+    )
+    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = rows.agg(F.percentile_approx("at", [(k + 1) / n for k in range(n - 1)], 20 * n)).first()[0] or []
+    rows = rows.withColumn("range", _range_of(F.col("at"), sorted(set(cuts))))
+    # a row for each range that has any
+    firsts = rows.groupBy("range").agg(F.max(F.struct("at", "tie")).alias("first")).orderBy("range").collect()
+    before = [(r["range"], firsts[k - 1]["range"], r["first"]["at"], r["first"]["tie"]) for k, r in enumerate(firsts)]
+    heads = spark.createDataFrame(before, "of int, before int, first_at long, first_tie long")
+    rows = rows.join(F.broadcast(heads), F.col("range") == F.col("of"))
+    here, there = F.struct(F.col("range"), F.lit(False).alias("follows")), F.struct(F.col("before").alias("range"), F.lit(True).alias("follows"))
+    is_first = (F.col("at") == F.col("first_at")) & (F.col("tie") == F.col("first_tie"))
+    placed = rows.select("doc_id", "at", "tie", "text", F.explode(F.when(is_first, F.array(here, there)).otherwise(F.array(here))).alias("to"))
+    placed = placed.select("to.*", "doc_id", "at", "tie", "text").repartition("range")
+    placed = placed.sortWithinPartitions("range", "follows", F.col("at").desc(), F.col("tie").desc())
+    return placed.select("range", "follows", "doc_id", "text").mapInPandas(_in_order, _ROW).withColumn("doc_id", F.col("doc_id").cast("long"))
