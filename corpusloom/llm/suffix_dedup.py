@@ -39,7 +39,8 @@ from corpusloom.llm.scratch import Scratch
 MIN_WORDS = 50
 KGRAM = 16
 REACH = MIN_WORDS - KGRAM
-GROUP = 20_000
+#: The most suffixes of one beginning that a task brings together, at about 300 bytes each.
+GROUP = 100_000
 _LAST = np.iinfo(np.int64).max
 _P = 0xD6E8FEB86659FD93
 _powers = _inverses = np.ones(1, np.uint64)
@@ -123,8 +124,7 @@ def _suffixes(repeated: bytes, crowded: bytes):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, many, seen = keyfilter.opened(repeated), keyfilter.opened(crowded), set()
         for batch in batches:
-            doc = pd.to_numeric(batch["id"]).astype("Int64").fillna(_LAST).to_numpy(np.int64)
-            for begin, _end, classes, new, words, per in _walk(batch, seen):
+            for _begin, _end, classes, new, words, per in _walk(batch, seen):
                 places, gram = _retained(words, per)
                 stops = np.cumsum(per)
                 of = np.searchsorted(stops, places, side="right")
@@ -135,7 +135,7 @@ def _suffixes(repeated: bytes, crowded: bytes):
                 begins = (stops - per)[of]
                 around = _around(words, places, begins, stops[of])
                 rows = pd.DataFrame({
-                    "gram": gram.view(np.int64), "cls": classes[of], "doc": doc[begin + of],
+                    "gram": gram.view(np.int64), "cls": classes[of],
                     "place": (places - begins).astype(np.int32), "room": (stops[of] - begins).astype(np.int32),
                 })
                 big = keyfilter.passes(many, gram)
@@ -223,9 +223,14 @@ def repeated_passages(docs: DataFrame, scratch: Scratch | None = None) -> DataFr
     grams = survey.filter("grams is not null").select(F.explode("grams").alias("key"))
     counted = scratch.table(grams.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     repeated, crowded = keyfilter.build(counted), keyfilter.build(counted.filter(F.col("n") > GROUP))
-    schema = "gram long, cls long, doc long, place int, room int, shift int, around binary"
-    suffixes = scratch.table(texts.select("id", "text").mapInPandas(_suffixes(repeated, crowded), schema))
+    schema = "gram long, cls long, place int, room int, shift int, around binary"
+    suffixes = scratch.table(texts.select("text").mapInPandas(_suffixes(repeated, crowded), schema))
     scratch.drop(counted)
+    rows = survey.filter(F.col("n") >= MIN_WORDS).select(F.col("id").cast("long").alias("doc_id"), "key", "cls", "n").distinct()
+    rows = rows.withColumn("order", F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "key"))
+    heads = scratch.table(rows.groupBy(F.col("cls").alias("of")).agg(F.min("order").alias("head"), F.count("*").alias("copies")))
+    # a task knows only its own documents, and the first of a class may be in another
+    suffixes = suffixes.join(heads.select("of", F.col("head.d").alias("doc")), F.col("cls") == F.col("of")).drop("of")
     grouped = suffixes.filter("shift < 0").repartition("gram").sortWithinPartitions("gram")
     matches = grouped.mapInPandas(_matches, "cls long, start int, later boolean")
     # of groups too large for a task: an extension that two suffixes have, and the first that has it
@@ -238,9 +243,6 @@ def repeated_passages(docs: DataFrame, scratch: Scratch | None = None) -> DataFr
     )
     spans = _spans(matches.unionByName(large))
     # equal texts: the first by doc_id has its class's spans, the others repeat as a whole
-    rows = survey.filter(F.col("n") >= MIN_WORDS).select(F.col("id").cast("long").alias("doc_id"), "key", "cls", "n").distinct()
-    rows = rows.withColumn("order", F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "key"))
-    heads = rows.groupBy("cls").agg(F.min("order").alias("head"), F.count("*").alias("copies")).withColumnRenamed("cls", "of")
     rows = rows.join(heads, F.col("cls") == F.col("of")).withColumn("whole", F.col("copies") > 1)
     copies = rows.filter("whole").select(
         "doc_id", F.lit(0).alias("start"), F.col("n").cast("int").alias("stop"), F.when(F.col("order") != F.col("head"), F.col("n")).alias("late"), "cls", F.col("order") == F.col("head")
