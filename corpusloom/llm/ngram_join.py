@@ -45,7 +45,7 @@ from corpusloom.llm.components import components
 from corpusloom.llm.scratch import Scratch
 
 PERCENT = 75
-LONG = 32
+LONG = 12
 PIECE = 20_000
 #: The most frequent shingles that the order puts last; the list is sent to all tasks.
 FREQUENT = 1 << 16
@@ -134,37 +134,41 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[p
 
 
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Postings, sorted by shingle and class, of shingles that more than one class holds; one each.
+    """Postings, sorted by shingle, of shingles that more than one class holds; one each.
 
-    Only the row before is kept, so a list may be of any length.
+    From the LONG-th of a list on, a posting names the list's first class as its pivot. Only
+    the row before and the first one are kept, so a list may be of any length.
     """
-    held: dict | None = None  # the last posting, and whether it was passed on
+    held, passed, head, seen = None, False, None, 0  # the last posting, its list's first, its place
     for batch in batches:
         if not len(batch):
             continue
-        rows = batch
-        lead = 0
-        if held is not None:
-            rows, lead = pd.concat((held["row"], batch), ignore_index=True), 1
+        lead = int(held is not None)
+        rows = pd.concat((held, batch), ignore_index=True) if lead else batch
         s, c = rows["shingle"].to_numpy(), rows["cls"].to_numpy()
         new = np.ones(len(rows), bool)
         new[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
-        rows = rows[new]
-        s = rows["shingle"].to_numpy()
-        like_next = np.zeros(len(rows), bool)
-        like_next[:-1] = s[1:] == s[:-1]
-        pair = like_next.copy()
-        pair[1:] |= like_next[:-1]
-        done = held is not None and held["passed"]
-        if lead and done:
-            keep = pair.copy()
-            keep[0] = False
-            out = rows[keep]
-        else:
-            out = rows[pair]
-        if len(out):
-            yield out
-        held = {"row": rows.iloc[-1:].reset_index(drop=True), "passed": bool(pair[-1]) or (len(rows) == 1 and done)}
+        rows = rows[new].reset_index(drop=True)
+        s, c, n = (rows[k].to_numpy() for k in ("shingle", "cls", "n"))
+        starts = np.concatenate(([True], s[1:] != s[:-1]))
+        first = np.maximum.accumulate(np.where(starts, np.arange(len(s)), 0))
+        place, pivot, pivot_n = np.arange(len(s)) - first, c[first], n[first]
+        if lead:  # the list that was open goes on
+            open_ = first == 0
+            place[open_] += seen
+            pivot[open_], pivot_n[open_] = head
+        pair = np.zeros(len(s), bool)
+        pair[:-1] = ~starts[1:]
+        pair |= place > 0
+        emit = pair.copy()
+        if lead and passed:
+            emit[0] = False
+        if emit.any():
+            out = rows[emit]
+            long = place[emit] >= LONG
+            yield out.assign(pivot=pivot[emit], pivot_n=np.where(long, pivot_n[emit], 0))
+        passed = bool(pair[-1])
+        held, head, seen = rows.iloc[-1:].reset_index(drop=True), (pivot[-1], pivot_n[-1]), int(place[-1])
 
 
 def _threshold(x, y, percent: int):
@@ -178,38 +182,6 @@ def _compatible(x, y, percent: int):
     return 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
 
 
-def _stars(percent: int):
-    """From long lists, sorted by rare shingles: each class with the list's first."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, head, seen = None, [], 0
-        x, y = [], []
-
-        def meet(row, pivot):
-            if row[0] != pivot[0] and _compatible(row[1], pivot[1], percent) and min(row[2], pivot[2]) >= _threshold(row[1], pivot[1], percent)[1]:
-                x.append(row[0])
-                y.append(pivot[0])
-
-        for batch in batches:
-            for shingle, *row in zip(*(batch[c].tolist() for c in ("shingle", "cls", "n", "short_hits")), strict=True):
-                if shingle != now:
-                    now, head, seen = shingle, [], 0
-                seen += 1
-                if seen <= LONG:
-                    head.append(row)
-                    continue
-                if seen == LONG + 1:
-                    for r in head[1:]:
-                        meet(r, head[0])
-                    head = head[:1]
-                meet(row, head[0])
-            if x:
-                yield pd.DataFrame({"x": x, "y": y}).drop_duplicates()
-                x, y = [], []
-
-    return run
-
-
 def _pairs(percent: int):
     """From pieces of lists: for each class those before it that could link, by list."""
 
@@ -317,15 +289,26 @@ class _Join:
         run = _divider(names[order], table[order, 1], self.percent)
         return self.scratch.table(self.texts.mapInPandas(run, "id string, key long, n long, cls long, rare long, short array<long>"))
 
-    def lists(self, rows: DataFrame) -> DataFrame:
-        """(shingle, cls, n, rare, short_hits): the short lists with more than one class."""
+    def lists(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(shingle, cls, n, pivot, pivot_n) of short lists with more than one class, and (of, short_hits) of each class.
+
+        pivot_n is 0 where a posting has no pivot.
+        """
         postings = rows.filter("short is not null").select(F.explode("short").alias("shingle"), "cls", "n", "rare")
         postings = postings.repartition("shingle").sortWithinPartitions("shingle", "rare", "cls")
-        shared = self.scratch.table(postings.mapInPandas(_shared, "shingle long, cls long, n long, rare long"))
-        hits = shared.groupBy(F.col("cls").alias("of")).agg(F.count("*").alias("short_hits"))
-        out = self.scratch.table(shared.join(hits, F.col("cls") == F.col("of")).drop("of"))
-        self.scratch.drop(shared)
-        return out
+        shared = postings.select("shingle", "cls", "n").mapInPandas(_shared, "shingle long, cls long, n long, pivot long, pivot_n long")
+        shared = self.scratch.table(shared)
+        return shared, self.scratch.table(shared.groupBy(F.col("cls").alias("of")).agg(F.count("*").alias("short_hits")))
+
+    def stars(self, shared: DataFrame, hits: DataFrame) -> DataFrame:
+        """(x, y): classes of long lists with the first of their list, where they could link."""
+        met = shared.filter("pivot_n > 0").select(F.col("cls").alias("x"), "n", F.col("pivot").alias("y"), "pivot_n").distinct()
+        met = met.filter(100 * F.least("n", "pivot_n") >= self.percent * F.greatest("n", "pivot_n"))
+        of = lambda c: hits.select(F.col("of").alias(f"{c}_of"), F.col("short_hits").alias(f"{c}_hits"))
+        met = met.join(of("x"), F.col("x") == F.col("x_of")).join(of("y"), F.col("y") == F.col("y_of"))
+        need = F.ceil(self.percent * (F.col("n") + F.col("pivot_n")) / (100 + self.percent))
+        least = need - F.greatest(F.ceil(self.percent * F.col("n") / 100), F.ceil(self.percent * F.col("pivot_n") / 100)) + 1
+        return self.scratch.table(met.filter(F.least("x_hits", "y_hits") >= least).select("x", "y"))
 
     def sets(self, pairs: DataFrame) -> DataFrame:
         """(cls, members) of at least the classes in ``pairs``, from the texts, by a filter of fixed size."""
@@ -348,26 +331,28 @@ class _Join:
     def links(self, rows: DataFrame) -> DataFrame:
         """Links (x, y) between classes, enough of them to connect what any link connects."""
         scratch = self.scratch
-        lists = self.lists(rows)
-        sizes = scratch.table(lists.groupBy(F.col("shingle").alias("of")).agg(F.count("*").alias("size")))
-        long = lists.join(sizes.filter(F.col("size") > LONG), F.col("shingle") == F.col("of"), "left_semi")
-        stars = long.repartition("shingle").sortWithinPartitions("shingle", "rare", "cls")
-        stars = scratch.table(stars.mapInPandas(_stars(self.percent), "x long, y long").distinct())
+        shared, hits = self.lists(rows)
+        stars = self.stars(shared, hits)
+        named = shared.select("shingle", "cls", "n").join(hits, F.col("cls") == F.col("of")).drop("of").withColumn("label", F.col("cls"))
         known = None
-        named = lists.withColumn("label", F.col("cls"))
         if not stars.isEmpty():
             known = self.probed(stars, self.sets(stars))
             label = self.labels(known).withColumnRenamed("label", "l")
-            named = lists.join(label, F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("l", "cls")).drop("node", "l")
-        pieces = F.ceil(F.col("size") / float(PIECE)).cast("int")
-        named = named.join(sizes, F.col("shingle") == F.col("of")).withColumn("pieces", pieces)
+            named = named.join(label, F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("l", "cls")).drop("node", "l")
+        # only lists that one task shouldn't hold are cut into pieces
+        sizes = shared.groupBy(F.col("shingle").alias("of")).agg(F.count("*").alias("size")).filter(F.col("size") > PIECE)
+        named = named.join(scratch.table(sizes), F.col("shingle") == F.col("of"), "left").withColumn(
+            "pieces", F.coalesce(F.ceil(F.col("size") / float(PIECE)), F.lit(1)).cast("int")
+        )
         named = named.withColumn("piece", F.pmod(F.xxhash64("cls"), F.col("pieces")).cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+        # low and high come first: a repartition by the keys of a join before it would be left out, and
+        # the split of a skewed join would then cut lists apart
         work = named.withColumn("other", other).select(
             "shingle", "cls", "n", "short_hits", "label", "piece",
             F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"),
         )
-        work = work.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high")
+        work = work.repartition("low", "high", "shingle").sortWithinPartitions("shingle", "low", "high")
         met = work.mapInPandas(_pairs(self.percent), "x long, n long, ys array<long>, ns array<long>")
         found = met.repartition("x").sortWithinPartitions("x").mapInPandas(_merge(self.percent), "x long, y long, hits long")
         candidates = scratch.table(found)
