@@ -369,8 +369,8 @@ class _Join:
         return scratch.table(known.unionByName(self.probed(left, sets)))
 
 
-def link_documents(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, text_key, n_shingles, component_id) of every row; text_key is xxhash64(text)."""
+def _labelled(docs: DataFrame, percent: int, scratch: Scratch | None) -> DataFrame:
+    """The columns of ``link_documents`` and label, the least class of the component; null without words."""
     scratch = scratch or Scratch(docs.sparkSession, "ngrams")
     join = _Join(docs, percent, scratch)
     rows = join.divided()
@@ -380,10 +380,15 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | N
     classes = classes.join(label, F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cls"))
     classes = scratch.table(classes.select("cls", "label", "least"))
     whole = classes.groupBy(F.col("label").alias("of_label")).agg(F.min("least").alias("component_id"))
-    named = classes.join(whole, F.col("label") == F.col("of_label")).select(F.col("cls").alias("of_cls"), "component_id")
+    named = classes.join(whole, F.col("label") == F.col("of_label")).select(F.col("cls").alias("of_cls"), "label", "component_id")
     out = rows.join(named, (F.col("cls") == F.col("of_cls")) & (F.col("n_shingles") > 0), "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "text_key", "n_shingles", own.alias("component_id"))
+    return out.select("doc_id", "text_key", "n_shingles", own.alias("component_id"), "label")
+
+
+def link_documents(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id) of every row; text_key is xxhash64(text)."""
+    return _labelled(docs, percent, scratch).drop("label")
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -391,8 +396,9 @@ def keep_one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Texts without words all stay. Of repeated rows one stays.
     """
-    linked = link_documents(docs, percent).filter("n_shingles > 0")
-    first = linked.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("keep")).select("keep.*")
+    # components without any doc_id share the component_id null, so they are told apart by label
+    linked = _labelled(docs, percent, None).filter("n_shingles > 0")
+    first = linked.groupBy("label").agg(F.min(F.struct("doc_id", "text_key")).alias("keep")).select("keep.*")
     gone = linked.select("doc_id", "text_key").distinct().join(
         first.select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_key")),
         F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_key") == F.col("k_key")), "left_anti",

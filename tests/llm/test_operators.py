@@ -232,6 +232,14 @@ def test_keep_one_of_each(spark, corpus):
     assert ngram_join.keep_one_of_each(table(spark, [])).count() == 0
 
 
+def test_keep_one_of_each_tells_components_without_doc_id_apart(spark):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(40)) for c in "abc")
+    rows = [(None, one, "en", "a"), (None, one + " more", "en", "a"), (None, two, "en", "a"), (None, three, "en", "a"), (None, three, "en", "a"), (7, three + " more", "en", "a"), (None, "", "en", "a")]
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.keep_one_of_each(table(spark, rows)).collect()]
+    parts = sorted("".join(sorted({w[0] for w in words_of(t)} & set("abc"))) for _, t in kept)
+    assert parts == ["", "a", "b", "c"]
+
+
 # --- language
 
 
