@@ -1,7 +1,7 @@
 """Quality selection by importance resampling.
 
-Two bag-of-n-gram models over hashed words and word pairs are counted: of the target, at
-most TARGET_ROWS documents labelled good and not toxic, and of all raw text. A document's
+Two bag-of-n-gram models over hashed words and word pairs are counted: of the target, all
+documents labelled good and not toxic, and of all raw text. A document's
 log weight is the sum over its n-grams of the log ratio of the two models. Adding Gumbel
 noise and taking the largest keys draws documents without replacement in proportion to
 their weights.
@@ -24,12 +24,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm import shingles
+from corpusloom.llm import keyfilter, shingles
 from corpusloom.llm.scratch import Scratch
 
 BUCKETS = 10_000
-#: The most labelled documents that the target model is counted from.
-TARGET_ROWS = 20_000
 
 
 def _buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -43,29 +41,42 @@ def _buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    n = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        good = batch["good"].to_numpy(bool)
         texts = [t.encode() for t in batch["text"]]
         for begin, end in shingles.chunks(texts):
-            bucket, doc = _buckets(texts[begin:end])
-            raw += np.bincount(bucket, minlength=BUCKETS)
-            target += np.bincount(bucket[good[begin:end][doc]], minlength=BUCKETS)
-    yield pd.DataFrame({"bucket": np.arange(BUCKETS), "raw": raw, "target": target})
+            n += np.bincount(_buckets(texts[begin:end])[0], minlength=BUCKETS)
+    some = np.flatnonzero(n)
+    yield pd.DataFrame({"bucket": some, "n": n[some]})
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS) -> np.ndarray:
+def _counted(texts: DataFrame) -> np.ndarray:
+    """One more than the n-grams in each bucket."""
+    n = np.ones(BUCKETS)
+    for r in texts.mapInPandas(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # one row a bucket
+        n[r["bucket"]] += r["n"]
+    return n
+
+
+def _passing(bits: bytes):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = keyfilter.opened(bits)
+        for batch in batches:
+            yield batch[keyfilter.passes(table, batch["id"].to_numpy(np.int64))]
+
+    return run
+
+
+def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Log ratio of target to raw probability for each bucket, with one added to every count."""
-    good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias("good_id"))
-    # at most target_rows ids, so the broadcast is bounded
-    good = good.distinct().orderBy(F.xxhash64("good_id"), "good_id").limit(target_rows)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.join(F.broadcast(good), F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("good"))
-    counted = rows.mapInPandas(_counts, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
-    for r in counted.collect():  # one row a bucket
-        raw[r["bucket"]] += r["raw"]
-        target[r["bucket"]] += r["target"]
+    good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null")
+    good = good.select(F.col("doc_id").cast("long").alias("good_id")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    # a filter of fixed size leaves out most other texts before the join
+    bits = keyfilter.build(good.select(F.col("good_id").alias("key")))
+    near = rows.filter("id is not null").mapInPandas(_passing(bits), "id long, text string")
+    raw = _counted(rows.select("text"))
+    target = _counted(near.join(good, F.col("id") == F.col("good_id"), "left_semi").select("text"))
     if target.sum() == BUCKETS:
         return np.zeros(BUCKETS)
     return np.log(target / target.sum()) - np.log(raw / raw.sum())

@@ -299,6 +299,16 @@ def test_resampling(spark):
     assert quality.resample(docs, labels.limit(0)).agg(F.max(F.abs("log_weight"))).first()[0] == 0
 
 
+def test_target_model_counts_every_good_document(spark):
+    # ids without a document, more than 20,000 of them, take up no places
+    labels = spark.range(21_000).selectExpr("id + 1000 as doc_id", "1 as quality", "0 as toxic").unionByName(spark.createDataFrame([(k, 1, 0) for k in range(100)], "doc_id long, quality int, toxic int"))
+    rows = [(k, f"word{k}" if k < 100 else "junk", "en", "a") for k in range(200)] + [(None, "junk", "en", "a")]
+    ratios = quality.log_ratios(table(spark, rows), labels)
+    bucket, _ = quality._buckets([t.encode() for _, t, *_ in rows])
+    raw, target = (1.0 + np.bincount(b, minlength=quality.BUCKETS) for b in (bucket, bucket[:100]))
+    assert np.allclose(ratios, np.log(target / target.sum()) - np.log(raw / raw.sum()), rtol=0, atol=1e-12)
+
+
 # --- top-k
 
 
