@@ -253,7 +253,8 @@ def _collector(bits: bytes):
                             seen.add(k)
                         found.append(s.view(np.int64))
                         classes.append(k)
-            yield pd.DataFrame({"cls": classes, "members": found})
+            if classes:
+                yield pd.DataFrame({"cls": classes, "members": found})
 
     return run
 

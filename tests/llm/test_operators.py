@@ -240,6 +240,20 @@ def test_keep_one_of_each_tells_components_without_doc_id_apart(spark):
     assert parts == ["", "a", "b", "c"]
 
 
+@pytest.mark.parametrize("shared", [0, 7])
+def test_ngram_components_of_sparse_tables(spark, shared):
+    rng = random.Random(shared)
+    text = lambda: " ".join(f"v{rng.randrange(10_000)}" for _ in range(60))
+    common = " ".join(f"c{k}" for k in range(shared))
+    rows = [(k, f"{common} {text()}", "en", "a") for k in range(6)]
+    if not shared:
+        near = text()
+        rows += [(10, near, "en", "a"), (11, near + " more", "en", "a")]
+    docs = table(spark, rows).repartition(4, "doc_id")
+    assert by_id(ngram_join.link_documents(docs), "n_shingles", "component_id") == brute_components(rows)
+    assert ngram_join.keep_one_of_each(docs).count() == len({c for *_, c in brute_components(rows)})
+
+
 # --- language
 
 
