@@ -2,18 +2,23 @@
 
 Distances of every vector to PIVOTS pivots are computed once. By the triangle inequality the
 distance of query and candidate is at least the largest difference of their distances to a
-pivot, and with it |q|^2 + |x|^2 - d^2 = 2 q.x bounds the score from above. A query takes
-candidates in order of that bound and stops when the next bound lies below its k-th score;
-candidates that tie with it are still evaluated.
+pivot, and with it |q|^2 + |x|^2 - d^2 = 2 q.x bounds the score from above. Candidates lie in
+blocks of vectors with the same nearest pivot and like distances to it; a block keeps the least
+and largest distance to every pivot, so one table of queries and blocks holds the maximum lower
+bounds. Blocks are taken in the order of their bounds. A query leaves a block out if its bound
+lies below the query's k-th score so far; what ties with it is still evaluated, as one matrix
+product for all queries that are left. A query starts with the k-th score among SAMPLE vectors.
 
-Candidates are packed in blocks of vectors that share their nearest pivot, a stripe is a
-bounded number of blocks, and a task searches one block of queries in one stripe. Only the k
-best of each query and stripe leave a task.
+A task searches CHUNK queries in one stripe of STRIPE blocks; both are fixed numbers of rows,
+so its memory does not depend on the table. Only the k best of each query and stripe leave it.
+
+The driver holds at most SAMPLE vectors of each of the LENGTHS commonest vector lengths, from
+which pivots far apart are chosen; vectors of other lengths are compared without bounds.
 
 Components are turned into floor(scale * x). Defined cases: a vector that is null or holds a
 null or non-finite component takes no part, nor does one without an id; vectors of different
 length are not compared; rows with equal ids are different candidates; scores that tie go to
-the smaller id.
+the smaller id; empty tables give no rows; columns other than vec_id and embedding are not read.
 """
 
 from __future__ import annotations
@@ -27,116 +32,190 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.scratch import Scratch
 
-PIVOTS = 16
-BLOCK = 1024
-STRIPE_BLOCKS = 48
-FIRST = 256
+PIVOTS = 64
+SAMPLE = 1024
+LENGTHS = 16
+BLOCK = 512
+STRIPE = 16
+CHUNK = 4096
 
-_PACKED = "dim int, block long, rows int, uids binary, ids binary, vectors binary, far binary"
+Sample = tuple[np.ndarray, np.ndarray]  # uids and vectors
 
 
-def _pack(uids, ids, vectors: np.ndarray, pivots: np.ndarray, block: int) -> dict:
+def far_apart(vectors: np.ndarray, count: int = PIVOTS) -> np.ndarray:
+    """Up to ``count`` different vectors, each the farthest from those before it."""
+    if not len(vectors):
+        return vectors
     v = vectors.astype(np.float64)
-    far = np.sqrt(np.maximum(((v[:, None, :] - pivots[None]) ** 2).sum(axis=2), 0)) if len(pivots) else np.zeros((len(v), 0))
-    return {
-        "dim": vectors.shape[1], "block": block, "rows": len(vectors),
-        "uids": np.asarray(uids, np.int64).tobytes(), "ids": np.asarray(ids, np.int64).tobytes(),
-        "vectors": vectors.tobytes(), "far": far.tobytes(), "near": int(far.argmin(axis=1)[0]) if far.size else 0,
-    }
+    apart, chosen = ((v - v.mean(axis=0)) ** 2).sum(axis=1), []
+    while len(chosen) < count and (not chosen or apart.max() > 0):
+        chosen.append(int(apart.argmax()))
+        now = ((v - v[chosen[-1]]) ** 2).sum(axis=1)
+        apart = np.minimum(apart, now) if len(chosen) > 1 else now
+    return vectors[chosen]
 
 
-def _packer(pivots: dict[int, np.ndarray]):
+def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """(rows of x, pivots): Euclidean distances."""
+    x, p = x.astype(np.float64), pivots.astype(np.float64)
+    square = (x**2).sum(axis=1)[:, None] + (p**2).sum(axis=1)[None] - 2 * (x @ p.T)
+    return np.sqrt(np.maximum(square, 0))
+
+
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact inner products of the rows of q with those of x."""
+    most = int(max(np.abs(q).max(initial=0), 1)) * int(max(np.abs(x).max(initial=0), 1)) * max(q.shape[1], 1)
+    if most < 1 << 53:
+        return q.astype(np.float64) @ x.astype(np.float64).T
+    return q @ x.T if most < 1 << 63 else q.astype(object) @ x.astype(object).T
+
+
+def _narrow(v: np.ndarray) -> np.ndarray:
+    """The same integers in the fewest bytes each."""
+    low, high = int(v.min(initial=0)), int(v.max(initial=0))
+    return v.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
+def _wide(raw: bytes, rows: int, dim: int) -> np.ndarray:
+    size = len(raw) // (rows * dim) if rows * dim else 8
+    return np.frombuffer(raw, f"<i{size}").astype(np.int64).reshape(rows, dim)
+
+
+def _kth(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th highest of each row."""
+    return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+
+
+def _placer(samples: dict[int, Sample], pivots: dict[int, np.ndarray], k: int):
+    """Vectors with their nearest pivot, the distance to it, and for queries the score to beat."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[int, int], list] = {}
-        base, made = None, 0
+        for batch in batches:
+            dims = batch["dim"].to_numpy()
+            for dim in np.unique(dims).tolist():
+                rows = batch[dims == dim]
+                x = np.concatenate(rows["v"].to_list() or [np.zeros(0)]).astype(np.int64).reshape(len(rows), dim)
+                near, away, floor = np.zeros(len(rows), np.int32), np.zeros(len(rows)), np.full(len(rows), None, object)
+                if dim in pivots:
+                    far = distances(x, pivots[dim])
+                    near, away = far.argmin(axis=1).astype(np.int32), far.min(axis=1)
+                asks = np.flatnonzero(rows["asks"].to_numpy())
+                if len(asks) and dim in samples and len(samples[dim][0]) > k:
+                    uids, s = samples[dim]
+                    scores = products(x[asks], s).astype(object if abs(x[asks]).max(initial=0) > 1 << 40 else np.float64)
+                    scores[rows["uid"].to_numpy()[asks][:, None] == uids[None]] = -np.inf
+                    floor[asks] = np.nextafter(_kth(scores, k).astype(np.float64), -np.inf)
+                yield pd.DataFrame({
+                    "uid": rows["uid"], "vec_id": rows["vec_id"], "dim": rows["dim"], "asks": rows["asks"], "near": near, "away": away,
+                    "floor": pd.array(floor, "Float64"), "v": [r.tobytes() for r in _narrow(x)] if dim else [b""] * len(rows),
+                })
+
+    return run
+
+
+_BLOCK_COLUMNS = "dim int, part long, rows int, uids binary, ids binary, vectors binary, floors binary, nearest binary, farthest binary, square double"
 
-        def out(key):
-            nonlocal made
-            rows = held.pop(key)
-            made += 1
-            packed = _pack([r[0] for r in rows], [r[1] for r in rows], np.array([r[2] for r in rows], np.int64).reshape(len(rows), key[0]), pivots[key[0]], base + made)
-            packed.pop("near")
-            return pd.DataFrame([packed])
 
+def _packer(pivots: dict[int, np.ndarray]):
+    """Adjacent sorted vectors as blocks."""
+
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        dim = int(rows["dim"].iloc[0])
+        x = np.concatenate([_wide(v, 1, dim) for v in rows["v"]])
+        far = distances(x, pivots[dim]) if dim in pivots else np.zeros((len(x), 0))
+        return pd.DataFrame([{
+            "dim": dim, "part": int(rows["part"].iloc[0]), "rows": len(rows), "uids": rows["uid"].to_numpy(np.int64).tobytes(),
+            "ids": rows["vec_id"].to_numpy(np.int64).tobytes(), "vectors": _narrow(x).tobytes(),
+            "floors": rows["floor"].to_numpy(np.float64, na_value=-np.inf).tobytes(),
+            "nearest": far.min(axis=0).tobytes(), "farthest": far.max(axis=0).tobytes(), "square": float((x.astype(np.float64) ** 2).sum(axis=1).max()),
+        }])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
         for batch in batches:
-            for part, uid, vec_id, v in zip(batch["part"], batch["uid"], batch["vec_id"], batch["v"], strict=True):
-                base = int(part) << 32
-                v = np.asarray(v, np.int64)
-                p = pivots[len(v)].astype(np.float64)
-                near = int(((p - v) ** 2).sum(axis=1).argmin()) if len(p) and len(v) else 0
-                rows = held.setdefault((len(v), near), [])
-                rows.append((uid, vec_id, v))
-                if len(rows) >= BLOCK:
-                    yield out((len(v), near))
-        # what is left of all pivots' blocks is packed together
-        for dim in {d for d, _ in held}:
-            rest = [r for key in sorted(k for k in held if k[0] == dim) for r in held.pop(key)]
-            for at in range(0, len(rest), BLOCK):
-                held[dim, 0] = rest[at : at + BLOCK]
-                yield out((dim, 0))
+            rows = batch if held is None else pd.concat((held, batch), ignore_index=True)
+            edges = np.flatnonzero(np.diff(rows["dim"].to_numpy())) + 1
+            held = None
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(rows)], strict=True):
+                last = b == len(rows)
+                for at in range(a, b, BLOCK):
+                    if last and at + BLOCK > b:
+                        held = rows.iloc[at:b]
+                    else:
+                        yield packed(rows.iloc[at : min(at + BLOCK, b)])
+        if held is not None and len(held):
+            yield packed(held)
 
     return run
 
 
-def _opened(frame: pd.DataFrame):
-    dim = int(frame["dim"].iloc[0])
-    joined = lambda c, kind: np.frombuffer(b"".join(frame[c]), kind)
-    ids = joined("ids", np.int64)
-    return joined("uids", np.int64), ids, joined("vectors", np.int64).reshape(len(ids), dim), joined("far", np.float64).reshape(len(ids), -1)
+def block_bounds(far: np.ndarray, square: np.ndarray, nearest: np.ndarray, farthest: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """(queries, blocks): no score of the block's vectors is higher, by the farthest of all pivots."""
+    apart = np.zeros((len(far), len(most)))
+    for p in range(far.shape[1]):
+        np.maximum(apart, nearest[None, :, p] - far[:, p, None], out=apart)
+        np.maximum(apart, far[:, p, None] - farthest[None, :, p], out=apart)
+    both = square[:, None] + most[None]
+    return (both - apart * apart) / 2 + 1e-9 * both + 1e-6  # the last two for rounding
 
 
-def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact inner products of one vector with many."""
-    most = int(max(np.abs(q).max(initial=0), 1)) * int(max(np.abs(x).max(initial=0), 1)) * max(len(q), 1)
-    if most < 1 << 53:
-        return (x.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
-    return x @ q if most < 1 << 63 else (x.astype(object) @ q.astype(object))
-
-
-def search(query: np.ndarray, far: np.ndarray, own: int, uids, ids, x, x_far, x_square, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the query's k best among x, best first."""
-    q_square = float((query.astype(np.float64) ** 2).sum())
-    apart = np.zeros(len(ids))
-    for j in range(len(far)):
-        np.maximum(apart, np.abs(x_far[:, j] - far[j]), out=apart)
-    bound = (q_square + x_square - apart * apart) / 2
-    bound += 1e-9 * (q_square + x_square) + 1e-6  # rounding
-    bound[uids == own] = -np.inf
-    open_, best, scores = np.arange(len(ids)), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    take = max(FIRST, k)
-    while len(open_):
-        if len(open_) > take:
-            order = np.argpartition(-bound[open_], take - 1)
-            now, open_ = open_[order[:take]], open_[order[take:]]
-        else:
-            now, open_ = open_, open_[:0]
-        now = now[bound[now] > -np.inf]
-        got = _products(query, x[now])
-        best, scores = np.concatenate((best, now)), np.concatenate((scores, got))
-        if len(best) > k:
-            keep = np.lexsort((ids[best], -scores))[:k]
-            best, scores = best[keep], scores[keep]
-        if len(best) == k:
-            open_ = open_[bound[open_] >= float(scores.min())]
-        take *= 4
-    keep = np.lexsort((ids[best], -scores))[:k]
-    return ids[best[keep]], scores[keep]
-
-
-def _searcher(k: int):
-    def run(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        columns = {"query_uid": [], "query_id": [], "vec_id": [], "score": []}
-        if len(queries) and len(candidates):
-            q_uids, q_ids, q, q_far = _opened(queries)
-            uids, ids, x, x_far = _opened(candidates)
-            square = (x.astype(np.float64) ** 2).sum(axis=1)
-            for uid, qid, v, far in zip(q_uids, q_ids, q, q_far, strict=True):
-                found, scores = search(v, far, uid, uids, ids, x, x_far, square, k)
-                columns["query_uid"] += [uid] * len(found)
-                columns["query_id"] += [qid] * len(found)
-                columns["vec_id"] += found.tolist()
-                columns["score"] += [int(s) for s in scores]
-        return pd.DataFrame(columns)
+def search(q_uids, q: np.ndarray, floors: np.ndarray, bounds: np.ndarray, blocks: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query places, ids, scores) of the k best of each query, best first, and the pairs evaluated.
+
+    blocks: (uids, ids, vectors) of each block, in the order of the columns of ``bounds``.
+    """
+    floors = floors.copy()
+    place, ids, scores, evaluated = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, object), 0
+    for b in np.argsort(-bounds.max(axis=0, initial=-np.inf), kind="stable"):
+        uids, block_ids, x = blocks[b]
+        open_ = np.flatnonzero(bounds[:, b] >= floors)
+        if not len(open_):
+            continue
+        got = products(q[open_], x)
+        evaluated += got.size
+        own = q_uids[open_][:, None] == uids[None]
+        least, new = floors[open_], np.isneginf(floors[open_])
+        if new.any() and len(x) > k:
+            some = got[new].astype(np.float64)
+            some[own[new]] = -np.inf
+            least[new] = np.nextafter(_kth(some, k), -np.inf)
+        row, col = np.nonzero((got >= least[:, None]) & ~own)
+        if not len(row):
+            continue
+        exact = got[row, col]
+        exact = exact.astype(np.int64) if exact.dtype == np.float64 else exact
+        place, ids = np.concatenate((place, open_[row])), np.concatenate((ids, block_ids[col]))
+        scores = np.concatenate((scores, exact)) if len(scores) else exact
+        order = np.lexsort((ids, -scores, place))
+        place, ids, scores = place[order], ids[order], scores[order]
+        first = np.searchsorted(place, place)
+        rank = np.arange(len(place)) - first
+        full = rank == k - 1
+        floors[place[full]] = np.maximum(floors[place[full]], np.nextafter(scores[full].astype(np.float64), -np.inf))
+        place, ids, scores = place[rank < k], ids[rank < k], scores[rank < k]
+    return place, ids, scores, evaluated
+
+
+def _opened(frame: pd.DataFrame) -> list:
+    return [
+        (np.frombuffer(u, np.int64), np.frombuffer(i, np.int64), _wide(v, n, d))
+        for u, i, v, n, d in zip(frame["uids"], frame["ids"], frame["vectors"], frame["rows"], frame["dim"], strict=True)
+    ]
+
+
+def _searcher(pivots: dict[int, np.ndarray], k: int):
+    def run(asked: pd.DataFrame, stripe: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(stripe):
+            return pd.DataFrame({"query_uid": [], "query_id": [], "vec_id": [], "score": []})
+        dim = int(stripe["dim"].iloc[0])
+        asks = _opened(asked)
+        q_uids, q_ids, q = (np.concatenate([a[j] for a in asks]) for j in range(3))
+        floors = np.concatenate([np.frombuffer(f, np.float64) for f in asked["floors"]])
+        table = lambda c: np.array([np.frombuffer(r, np.float64) for r in stripe[c]]).reshape(len(stripe), -1)
+        far = distances(q, pivots[dim]) if dim in pivots else np.zeros((len(q), 0))
+        bounds = block_bounds(far, (q.astype(np.float64) ** 2).sum(axis=1), table("nearest"), table("farthest"), stripe["square"].to_numpy())
+        place, ids, scores, _ = search(q_uids, q, floors, bounds, _opened(stripe), k)
+        return pd.DataFrame({"query_uid": q_uids[place], "query_id": q_ids[place], "vec_id": ids, "score": [int(s) for s in scores]})
 
     return run
 
@@ -149,39 +228,49 @@ def integer_vectors(embeddings: DataFrame, scale: int) -> DataFrame:
     return rows.select("vec_id", F.transform("e", lambda x: F.floor(x * float(scale))).cast("array<bigint>").alias("v"))
 
 
+def _sampled(rows: DataFrame) -> dict[int, Sample]:
+    """For each of the commonest lengths up to SAMPLE vectors, those with the least digests."""
+    common = rows.groupBy("dim").count().orderBy(F.col("count").desc(), "dim").limit(LENGTHS)
+    of = common.select(F.col("dim").alias("of"))
+    nth = F.row_number().over(W.partitionBy("dim").orderBy(F.xxhash64("v"), "uid"))
+    some = rows.join(F.broadcast(of), F.col("dim") == F.col("of")).withColumn("nth", nth).filter(F.col("nth") <= SAMPLE)
+    found: dict[int, list] = {}
+    for r in some.select("dim", "uid", "v").collect():  # at most LENGTHS * SAMPLE rows
+        found.setdefault(r["dim"], []).append((r["uid"], r["v"]))
+    return {d: (np.array([u for u, _ in f], np.int64), np.array([v for _, v in f], np.int64).reshape(len(f), d)) for d, f in found.items()}
+
+
 def top_k(embeddings: DataFrame, is_query: Column, k: int = 20, scale: int = 64, scratch: Scratch | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best of every query row, against all other rows."""
-    spark = embeddings.sparkSession
-    scratch = scratch or Scratch(spark, "topk")
-    rows = scratch.table(
-        integer_vectors(embeddings, scale).withColumns({"uid": F.monotonically_increasing_id(), "dim": F.size("v")})
-    )
-    # pivots: of each length the vectors with the least digests; PIVOTS for each length
-    pivots: dict[int, np.ndarray] = {}
-    for (dim,) in rows.select("dim").distinct().collect():
-        some = rows.filter(F.col("dim") == dim).dropDuplicates(["v"]).orderBy(F.xxhash64("v"), "uid").limit(PIVOTS)
-        pivots[dim] = np.array([r.v for r in some.select("v").collect()], np.int64).reshape(-1, dim)
-    pack = lambda df: df.select(F.spark_partition_id().alias("part"), "uid", "vec_id", "v").mapInPandas(_packer(pivots), _PACKED)
-    blocks = scratch.table(pack(rows))
-    asked = scratch.table(pack(rows.filter(is_query).repartition(max(1, spark.sparkContext.defaultParallelism // 4))))
-    number = lambda df, name: df.withColumn(name, (F.row_number().over(W.orderBy("dim", "block")) - 1).cast("int"))  # noqa: E731  one row a block
-    numbers = number(blocks.select("dim", "block"), "at").withColumn("stripe", F.expr(f"at div {STRIPE_BLOCKS}").cast("int"))
-    stripes = blocks.join(numbers.select("block", "stripe"), "block")
-    asked = asked.withColumnsRenamed({"block": "q_block", "dim": "q_dim"})
-    ways = numbers.select("dim", "stripe").distinct().join(asked.select("q_dim", "q_block"), F.col("dim") == F.col("q_dim"))
-    ways = scratch.table(ways.select("dim", "stripe", "q_block"))
-    left = asked.join(ways.select("q_block", F.col("stripe").alias("q_stripe")), "q_block")
-    right = stripes.join(ways, ["dim", "stripe"]).select(
-        F.col("q_block").alias("for_block"), "stripe", "dim", "uids", "ids", "vectors", "far"
-    )
-    found = (
-        left.select("q_block", "q_stripe", F.col("q_dim").alias("dim"), "uids", "ids", "vectors", "far")
-        .groupBy("q_block", "q_stripe")
-        .cogroup(right.groupBy("for_block", "stripe"))
-        .applyInPandas(_searcher(k), "query_uid long, query_id long, vec_id long, score long")
+    scratch = scratch or Scratch(embeddings.sparkSession, "topk")
+    rows = integer_vectors(embeddings, scale).withColumns({"uid": F.monotonically_increasing_id(), "dim": F.size("v")})
+    rows = scratch.table(rows.withColumn("asks", F.coalesce(is_query, F.lit(False))))
+    samples = _sampled(rows)
+    pivots = {d: far_apart(v) for d, (_, v) in samples.items() if d}
+    placed = scratch.table(
+        rows.mapInPandas(_placer(samples, pivots, k), "uid long, vec_id long, dim int, asks boolean, near int, away double, floor double, v binary")
     )
+    order = ["dim", "near", "away", "uid"]
+
+    def packed(df: DataFrame, name: str, blocks: int) -> DataFrame:
+        """Blocks in the order of their vectors, ``blocks`` of them with one number ``name``."""
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id().cast("long"))
+        made = df.select("uid", "vec_id", "dim", "floor", "v", "part").mapInPandas(_packer(pivots), _BLOCK_COLUMNS)
+        made = scratch.table(made.withColumn("block", F.monotonically_increasing_id()))
+        # numbers run within a part, so no window holds more than a part's blocks
+        nth = F.row_number().over(W.partitionBy("dim", "part").orderBy("block")) - 1
+        numbered = made.select("block", F.concat_ws("/", "dim", "part", F.floor(nth / blocks)).alias(name))
+        return made.join(numbered, "block")
+
+    stripes = packed(placed, "stripe", STRIPE)
+    asked = packed(placed.filter("asks"), "chunk", CHUNK // BLOCK)
+    # every chunk meets every stripe of its length; both tables have one small row each
+    chunks = asked.select("dim", "chunk").distinct().withColumnRenamed("dim", "q_dim")
+    ways = scratch.table(stripes.select("dim", "stripe").distinct().join(chunks, F.col("dim") == F.col("q_dim")).select("stripe", "chunk"))
+    left = asked.select("chunk", "dim", "rows", "uids", "ids", "vectors", "floors").join(ways, "chunk")
+    right = stripes.select("stripe", "dim", "rows", "uids", "ids", "vectors", "nearest", "farthest", "square").join(ways, "stripe")
+    found = left.groupBy("chunk", "stripe").cogroup(right.groupBy("chunk", "stripe"))
+    found = found.applyInPandas(_searcher(pivots, k), "query_uid long, query_id long, vec_id long, score long")
     best = W.partitionBy("query_uid").orderBy(F.col("score").desc(), F.col("vec_id"))
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
-
-
