@@ -1,61 +1,65 @@
-"""A Bloom filter of 64-bit keys of fixed size, built in the tasks and sent to all of them.
+"""A Bloom filter of 64-bit keys, sized to their number, built in the tasks and sent to all of them.
 
-Its size doesn't grow with the data. Too many keys for it only let more others through, so
-whoever filters with it must stay right with any key that passes.
+It has BITS_A_KEY bits for each key, up to MOST_BITS in all; with more keys it lets more others
+through, so whoever filters with it must stay right with any key that passes. A key belongs to
+one segment of the filter; each segment is filled by one task and is met by a bounded number
+of keys.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corpusloom.llm.shingles import mix64
 
-BITS = 1 << 24
+BITS_A_KEY = 12
+SEGMENT = 1 << 20
+MOST_BITS = 1 << 30
+_HASHES = 3
 
 
 def _places(keys: np.ndarray) -> list[np.ndarray]:
     k = np.ascontiguousarray(keys).view(np.uint64)
-    return [(mix64(k + np.uint64(j * 0x9E37)) % np.uint64(BITS)).astype(np.int64) for j in range(3)]
-
-
-def _fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    bits, some = np.zeros(BITS, bool), False
-    for batch in batches:
-        for at in _places(batch["key"].to_numpy(np.int64)):
-            bits[at] = True
-        some |= len(batch) > 0
-    if some:
-        yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
-
-
-def _either(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(BITS // 8, np.uint8)
-    for batch in batches:
-        for b in batch["bits"]:
-            total |= np.frombuffer(b, np.uint8)
-    yield pd.DataFrame({"bits": [total.tobytes()]})
-
-
-def build(keys: DataFrame) -> bytes:
-    """The filter of the non-null ``key`` (long) of all rows."""
-    parts = keys.filter("key is not null").select("key").mapInPandas(_fill, "bits binary")
-    rows = parts.repartition(4).mapInPandas(_either, "bits binary").collect()  # four rows of BITS / 8 bytes
-    total = np.zeros(BITS // 8, np.uint8)
-    for r in rows:
-        total |= np.frombuffer(r["bits"], np.uint8)
-    return total.tobytes()
-
-
-def opened(bits: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(bits, np.uint8)).view(bool)
-
-
-def passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    found = np.ones(len(keys), bool)
-    for at in _places(keys):
-        found &= table[at]
-    return found
+    return [(mix64(k + np.uint64(j * 0x9E37 + 1)) % np.uint64(SEGMENT)).astype(np.int64) for j in range(_HASHES)]
+
+
+def _fill(rows: pd.DataFrame) -> pd.DataFrame:
+    bits = np.zeros(SEGMENT, bool)
+    for at in _places(rows["key"].to_numpy(np.int64)):
+        bits[at] = True
+    return pd.DataFrame({"segment": rows["segment"].iloc[:1], "bits": [np.packbits(bits).tobytes()]})
+
+
+class Filter:
+    """Tells whether keys may be among those it was built from; never wrong about those that are."""
+
+    def __init__(self, segments: dict[int, bytes], count: int):
+        self.segments, self.count = segments, count
+        self._opened: np.ndarray | None = None
+
+    def __getstate__(self):
+        return {"segments": self.segments, "count": self.count, "_opened": None}
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        if self._opened is None:
+            self._opened = np.zeros((self.count, SEGMENT // 8), np.uint8)
+            for k, bits in self.segments.items():
+                self._opened[k] = np.frombuffer(bits, np.uint8)
+        keys = np.ascontiguousarray(keys).view(np.int64)
+        found, segment = np.ones(len(keys), bool), np.mod(keys, self.count)
+        for at in _places(keys):
+            found &= (self._opened[segment, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+        return found
+
+
+def build(keys: DataFrame) -> Filter:
+    """The filter of the non-null ``key`` (long) of all rows; keys should be digests."""
+    keys = keys.filter("key is not null").select("key").distinct()
+    count = max(1, min(-(-keys.count() * BITS_A_KEY // SEGMENT), MOST_BITS // SEGMENT))
+    filled = keys.withColumn("segment", F.pmod("key", F.lit(count)).cast("int"))
+    # a segment's keys are bounded by its share, as long as MOST_BITS suffice
+    rows = filled.groupBy("segment").applyInPandas(_fill, "segment int, bits binary").collect()  # MOST_BITS / 8 bytes at most
+    return Filter({r["segment"]: bytes(r["bits"]) for r in rows}, count)

@@ -240,15 +240,15 @@ def _merge(percent: int):
     return run
 
 
-def _collector(bits: bytes):
+def _collector(wanted: keyfilter.Filter):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted, seen = keyfilter.opened(bits), set()
+        seen: set[int] = set()
         for batch in batches:
             found, classes = [], []
             for s in _sets([t.encode() for t in batch["text"]]):
                 if len(s):
                     k = _class_of(s)
-                    if k not in seen and keyfilter.passes(wanted, np.array([k], np.int64))[0]:
+                    if k not in seen and wanted.passes(np.array([k], np.int64))[0]:
                         if len(seen) < 1 << 20:
                             seen.add(k)
                         found.append(s.view(np.int64))
@@ -314,8 +314,8 @@ class _Join:
     def sets(self, pairs: DataFrame) -> DataFrame:
         """(cls, members) of at least the classes in ``pairs``, from the texts, by a filter of fixed size."""
         wanted = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct()
-        bits = keyfilter.build(wanted.withColumnRenamed("cls", "key"))
-        found = self.texts.select("text").mapInPandas(_collector(bits), "cls long, members array<long>")
+        names = keyfilter.build(wanted.withColumnRenamed("cls", "key"))
+        found = self.texts.select("text").mapInPandas(_collector(names), "cls long, members array<long>")
         exact = found.join(wanted.withColumnRenamed("cls", "w"), F.col("cls") == F.col("w"), "left_semi")
         return self.scratch.table(exact.groupBy("cls").agg(F.first("members").alias("members")))
 

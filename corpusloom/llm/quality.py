@@ -40,45 +40,67 @@ def _buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return every.astype(np.int64), np.concatenate((doc, doc[1:][same]))
 
 
-def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    n = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        texts = [t.encode() for t in batch["text"]]
-        for begin, end in shingles.chunks(texts):
-            n += np.bincount(_buckets(texts[begin:end])[0], minlength=BUCKETS)
-    some = np.flatnonzero(n)
-    yield pd.DataFrame({"bucket": some, "n": n[some]})
-
-
-def _counted(texts: DataFrame) -> np.ndarray:
-    """One more than the n-grams in each bucket."""
-    n = np.ones(BUCKETS)
-    for r in texts.mapInPandas(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # one row a bucket
-        n[r["bucket"]] += r["n"]
+def _counts(some: keyfilter.Filter | None = None, others: keyfilter.Filter | None = None):
+    """N-grams by bucket: of all rows and of those whose id ``some`` passes and ``others`` doesn't."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros((2, BUCKETS), np.int64)
+        for batch in batches:
+            texts = [t.encode() for t in batch["text"]]
+            sure = np.zeros(len(texts), bool)
+            if some is not None:
+                known = batch["id"].notna().to_numpy()
+                ids = batch["id"].fillna(0).to_numpy(np.int64)
+                sure = known & some.passes(ids) & ~others.passes(ids)
+            for begin, end in shingles.chunks(texts):
+                bucket, doc = _buckets(texts[begin:end])
+                n[0] += np.bincount(bucket, minlength=BUCKETS)
+                n[1] += np.bincount(bucket[sure[begin:end][doc]], minlength=BUCKETS)
+        at = np.flatnonzero(n[0])
+        yield pd.DataFrame({"bucket": at, "n": n[0, at], "sure": n[1, at]})
+
+    return run
+
+
+def _counted(rows: DataFrame, *filters: keyfilter.Filter) -> np.ndarray:
+    """(all, sure): the n-grams in each bucket."""
+    n = np.zeros((2, BUCKETS))
+    found = rows.select("id", "text").mapInPandas(_counts(*filters), "bucket int, n long, sure long")
+    for r in found.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("sure").alias("sure")).collect():  # one row a bucket
+        n[:, r["bucket"]] += r["n"], r["sure"]
     return n
 
 
-def _passing(bits: bytes):
+def _passing(*filters: keyfilter.Filter):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = keyfilter.opened(bits)
         for batch in batches:
-            yield batch[keyfilter.passes(table, batch["id"].to_numpy(np.int64))]
+            found = np.ones(len(batch), bool)
+            for f in filters:
+                found &= f.passes(batch["id"].to_numpy(np.int64))
+            yield batch[found]
 
     return run
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Log ratio of target to raw probability for each bucket, with one added to every count."""
+    """Log ratio of target to raw probability for each bucket, with one added to every count.
+
+    One filter passes all good documents and another all others that the first passes, so most
+    good documents are known where they lie; texts that both pass are joined with the labels.
+    """
     good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null")
     good = good.select(F.col("doc_id").cast("long").alias("good_id")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    # a filter of fixed size leaves out most other texts before the join
-    bits = keyfilter.build(good.select(F.col("good_id").alias("key")))
-    near = rows.filter("id is not null").mapInPandas(_passing(bits), "id long, text string")
-    raw = _counted(rows.select("text"))
-    target = _counted(near.join(good, F.col("id") == F.col("good_id"), "left_semi").select("text"))
-    if target.sum() == BUCKETS:
+    known, is_good = rows.filter("id is not null"), F.col("id") == F.col("good_id")
+    some = keyfilter.build(good.select(F.col("good_id").alias("key")))
+    met = known.select("id").mapInPandas(_passing(some), "id long")
+    others = keyfilter.build(met.join(good, is_good, "left_anti").select(F.col("id").alias("key")))
+    raw, target = _counted(rows, some, others)
+    unsure = known.mapInPandas(_passing(some, others), "id long, text string")
+    target = target + _counted(unsure.join(good, is_good, "left_semi"))[0]
+    if not target.any():
         return np.zeros(BUCKETS)
+    raw, target = raw + 1, target + 1
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
