@@ -184,14 +184,27 @@ def brute_passages(rows, k=50):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("crowd", [10, 100_000])
-def test_repeated_passages(spark, corpus, crowd, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "GROUP", crowd)
+@pytest.mark.parametrize("slice_rows", [10, 100_000])
+def test_repeated_passages(spark, corpus, slice_rows, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SLICE", slice_rows)
     got = suffix_dedup.repeated_passages(table(spark, corpus))
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_passages(corpus)
     assert suffix_dedup.repeated_passages(table(spark, [])).count() == 0
 
 
+def test_passages_that_many_documents_share(spark):
+    rng = random.Random(9)
+    vocab = [f"w{k}" for k in range(300)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    shared, line = text(58), text(9)
+    rows = [(k, " ".join(text(rng.randrange(5, 60)) + shared * (k % 3 == 0) + text(rng.randrange(5, 60))), "en", "a") for k in range(240)]
+    rows += [(k, " ".join(line * rng.randrange(3, 40)), "en", "a") for k in range(240, 250)]  # period shorter than a gram
+    rows += [(None, rows[0][1], "en", "a"), (-1, rows[0][1], "en", "a"), (251, rows[3][1], "en", None), (251, rows[3][1], "en", None)]
+    for parts in (1, 7):
+        got = suffix_dedup.repeated_passages(table(spark, rows).repartition(parts))
+        assert sorted((tuple(r) for r in got.collect()), key=str) == brute_passages(rows)
+
+
 # --- n-gram Jaccard join
 
 
