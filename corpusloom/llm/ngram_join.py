@@ -2,31 +2,35 @@
 
 A document's set is its distinct 5-word shingles as 64-bit hashes; documents with equal sets
 are one class, named by a 64-bit digest of the set. Two sets of sizes x and y link if their
-overlap reaches a = ceil(p (x + y) / (100 + p)), p the percentage.
+overlap reaches the occurrence threshold T = ceil(p (x + y) / (100 + p)), p the percentage.
 
 Division. Shingles have one global order: those that occur often anywhere come last, most
-frequent at the very end. The first x - ceil(p x / 100) + 1 of a set are its short lists;
-the inverted lists of all others are long and are never built or merged. If two sets link,
-their short parts share at least min(a - ceil(p x / 100), a - ceil(p y / 100)) + 1 shingles,
-which is the occurrence threshold T of the pair.
-
-Merge and probe. For every class its short lists (of the classes before it) are merged by a
-heap, and classes that occur T times are candidates. A candidate's long lists are probed:
-each shingle of one set is binary-searched in the other, which gives the exact overlap.
-
-A group of near copies would put all its pairs into every list. Lists of more than LONG
-classes are therefore first compared with one pivot only, the class with the fewest rare
-shingles; what links to it gets its label, and pairs within a label are never made. Lists
-are split into pieces of PIECE classes, and pairs of pieces are separate work, so a task's
-memory is bounded whatever the length of a list. Then each class is probed against its best
-candidate, labels are joined again, and every candidate pair that still has two labels is
-probed. No candidate is left out.
+frequent at the very end. The first n - ceil(p n / 100) + 1 of a set are listed; if two sets
+link, these parts share at least min(T - ceil(p x / 100), T - ceil(p y / 100)) + 1 shingles. A
+list in order of size falls apart where a size is too small for the next; what is left alone
+links with nothing there. Of each part the class with the fewest rare shingles is the pivot, and
+all of the part meet in the pivot's block with the shingles that they share with anything.
+
+Search. In a block inverted lists are built and DivideSkip takes a class at a time, in order of
+size: the L longest of its lists are put aside, the others are merged by a heap, and classes
+before it that occur T - L times are looked up in the long lists by binary search until T is
+reached or out of reach. Classes that reach the smaller bound above are candidates. They form
+components, kept by joining classes as they are found; a class is not compared with its own
+component again, so what leaves a block are fewer pairs than it has classes.
+
+Then each component of candidates is a block with whole sets, and the same search, now for the
+overlap itself, gives the links. Each block is first compared with its pivot as a whole.
+
+Blocks of more than PIECE shingles are cut into pieces, and pairs of pieces are separate work
+that holds the pivot too, so a task's memory is bounded whatever the size of a group.
 
 Which shingles count as frequent is found from local counts; that choice and the bounds on
 it only change the amount of work, since any global order gives the same links.
 
 Defined cases: null text and text without words have an empty set and link with nothing;
-rows with a null id can link others; repeated rows are in one component.
+rows with a null id can link others; repeated rows are in one component; of classes that tie as
+pivot the least is taken; an empty table gives no rows; columns other than doc_id and text are
+not read by ``link_documents`` and come back as they are from ``keep_one_of_each``.
 """
 
 from __future__ import annotations
@@ -45,8 +49,10 @@ from corpusloom.llm.components import components
 from corpusloom.llm.scratch import Scratch
 
 PERCENT = 75
-LONG = 12
-PIECE = 20_000
+#: Shingles that a task holds of a block, at about 60 bytes each.
+PIECE = 1_000_000
+#: The share of T by which long lists are put aside falls with the logarithm of the longest list.
+_SKIP = 0.0085
 #: The most frequent shingles that the order puts last; the list is sent to all tasks.
 FREQUENT = 1 << 16
 _WINDOW = 1 << 21
@@ -133,109 +139,175 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[p
         yield rest
 
 
-def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Postings, sorted by shingle, of shingles that more than one class holds; one each.
+def _compatible(x, y, percent: int):
+    return 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+
+
+def _parts(percent: int):
+    """Postings, sorted by shingle and size, that have one of a compatible size beside them; part names their part.
 
-    From the LONG-th of a list on, a posting names the list's first class as its pivot. Only
-    the row before and the first one are kept, so a list may be of any length.
+    Only one posting is kept from batch to batch, so a list may be of any length.
     """
-    held, passed, head, seen = None, False, None, 0  # the last posting, its list's first, its place
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, joined, start = None, False, 0  # the last posting, whether it met one before it, its part
+        for batch in batches:
+            if not len(batch):
+                continue
+            lead = held is not None
+            rows = pd.concat((held, batch), ignore_index=True) if lead else batch
+            s, c = rows["shingle"].to_numpy(), rows["cls"].to_numpy()
+            new = np.ones(len(rows), bool)
+            new[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])  # a class that two tasks met
+            rows = rows[new].reset_index(drop=True)
+            s, n = rows["shingle"].to_numpy(), rows["n"].to_numpy()
+            meets = np.zeros(len(rows), bool)
+            meets[1:] = (s[1:] == s[:-1]) & _compatible(n[1:], n[:-1], percent)
+            if lead:
+                meets[0] = joined
+            first = np.maximum.accumulate(np.where(meets, 0, np.arange(len(rows))))
+            part = n[first]
+            if lead and joined:
+                part[first == 0] = start
+            keep = meets.copy()
+            keep[:-1] |= meets[1:]
+            last = keep[:-1]  # the last one waits for the next batch
+            if last.any():
+                yield rows.iloc[:-1][last].assign(part=part[:-1][last])
+            held, joined, start = rows.iloc[-1:].reset_index(drop=True), bool(meets[-1]), int(part[-1])
+        if held is not None and joined:
+            yield held.assign(part=start)
+
+    return run
+
+
+def _visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(pivot, cls): the first of each part, by rare shingles, and all of it; from rows sorted so."""
+    head = pivot = None
     for batch in batches:
         if not len(batch):
             continue
-        lead = int(held is not None)
-        rows = pd.concat((held, batch), ignore_index=True) if lead else batch
-        s, c = rows["shingle"].to_numpy(), rows["cls"].to_numpy()
-        new = np.ones(len(rows), bool)
-        new[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
-        rows = rows[new].reset_index(drop=True)
-        s, c, n = (rows[k].to_numpy() for k in ("shingle", "cls", "n"))
-        starts = np.concatenate(([True], s[1:] != s[:-1]))
-        first = np.maximum.accumulate(np.where(starts, np.arange(len(s)), 0))
-        place, pivot, pivot_n = np.arange(len(s)) - first, c[first], n[first]
-        if lead:  # the list that was open goes on
-            open_ = first == 0
-            place[open_] += seen
-            pivot[open_], pivot_n[open_] = head
-        pair = np.zeros(len(s), bool)
-        pair[:-1] = ~starts[1:]
-        pair |= place > 0
-        emit = pair.copy()
-        if lead and passed:
-            emit[0] = False
-        if emit.any():
-            out = rows[emit]
-            long = place[emit] >= LONG
-            yield out.assign(pivot=pivot[emit], pivot_n=np.where(long, pivot_n[emit], 0))
-        passed = bool(pair[-1])
-        held, head, seen = rows.iloc[-1:].reset_index(drop=True), (pivot[-1], pivot_n[-1]), int(place[-1])
-
-
-def _threshold(x, y, percent: int):
-    """(overlap that links sizes x and y, occurrences in short lists that it implies)."""
-    need = -(-percent * (x + y) // (100 + percent))
-    t = np.minimum(need - -(-percent * x // 100), need - -(-percent * y // 100)) + 1
-    return need, t
+        key, cls = batch[["shingle", "part"]].to_numpy(), batch["cls"].to_numpy()
+        new = np.ones(len(batch), bool)
+        new[1:] = (key[1:] != key[:-1]).any(axis=1)
+        new[0] = head is None or tuple(key[0]) != head
+        first = np.maximum.accumulate(np.where(new, np.arange(len(batch)), -1))
+        pivots = np.where(first >= 0, cls[first], 0 if pivot is None else pivot)
+        head, pivot = tuple(key[-1]), pivots[-1]
+        yield pd.DataFrame({"pivot": pivots, "cls": cls}).drop_duplicates()
 
 
-def _compatible(x, y, percent: int):
-    return 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+def _overlap(x, y, percent: int):
+    """The overlap that links sizes x and y."""
+    return -(-percent * (x + y) // (100 + percent))
 
 
-def _pairs(percent: int):
-    """From pieces of lists: for each class those before it that could link, by list."""
+def _listed(x, y, percent: int):
+    """The overlap of the listed shingles of sets that link."""
+    need = _overlap(x, y, percent)
+    return np.minimum(need - -(-percent * x // 100), need - -(-percent * y // 100)) + 1
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in whole_groups(batches, ["shingle", "low", "high"]):
-            out = {"x": [], "n": [], "ys": [], "ns": []}
-            key = rows[["shingle", "low", "high"]].to_numpy()
-            edges = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            columns = [rows[c].to_numpy() for c in ("cls", "n", "short_hits", "label", "piece", "low", "high")]
-            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(rows)], strict=True):
-                cls, n, hits, label, piece, low, high = (c[a:b] for c in columns)
-                if (label == label[0]).all():
-                    continue
-                order = np.lexsort((cls, n))
-                cls, n, hits, label, piece = cls[order], n[order], hits[order], label[order], piece[order]
-                across = low[0] != high[0]
-                least = np.searchsorted(100 * n, percent * n)  # the first that is long enough
-                for k in range(1, len(cls)):
-                    j = slice(least[k], k)
-                    ok = (label[j] != label[k]) & (np.minimum(hits[j], hits[k]) >= _threshold(n[j], n[k], percent)[1])
-                    if across:
-                        ok &= piece[j] != piece[k]
-                    if ok.any():
-                        some = np.argsort(cls[j][ok], kind="stable")
-                        out["x"].append(cls[k])
-                        out["n"].append(n[k])
-                        out["ys"].append(cls[j][ok][some])
-                        out["ns"].append(n[j][ok][some])
-            if out["x"]:
-                yield pd.DataFrame(out)
 
-    return run
+class _Components:
+    """Union by the smaller name, over 0 .. n - 1."""
+
+    def __init__(self, n: int):
+        self.names = np.arange(n)
 
+    def join(self, a: int, b: int) -> None:
+        a, b = sorted((self.names[a], self.names[b]))
+        self.names[self.names == b] = a
 
-def _merge(percent: int):
-    """Candidates of each class: those that occur often enough in its lists, merged by a heap."""
 
+def search_block(sizes: np.ndarray, sets: list[np.ndarray], pivot: int, percent: int, threshold=_overlap, pieces: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs (places in ``sizes``) that connect what any pair connects whose sets share ``threshold`` members.
+
+    sizes: those of the whole sets, in ascending order; pairs of sizes that can't link don't count.
+    pieces: if given, only sets of different pieces are compared, and all with the pivot.
+    """
+    n, links, known = len(sizes), [], _Components(len(sizes))
+    lengths = np.array([len(s) for s in sets])
+    every, owner = np.concatenate(sets), np.repeat(np.arange(n), lengths)
+    at = np.minimum(np.searchsorted(sets[pivot], every), lengths[pivot] - 1)
+    with_pivot = np.bincount(owner[sets[pivot][at] == every], minlength=n)
+    near = (with_pivot >= threshold(sizes, sizes[pivot], percent)) & _compatible(sizes, sizes[pivot], percent)
+    near[pivot] = False
+    for k in np.flatnonzero(near).tolist():
+        links.append((k, pivot))
+        known.join(k, pivot)
+    if (known.names == known.names[0]).all():
+        return links
+    # inverted lists of the shingles that several sets hold; each in order of size
+    order = np.lexsort((owner, every))
+    every, owner = every[order], owner[order]
+    starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+    length = np.diff(np.append(starts, len(every)))
+    begin = np.repeat(starts, length)
+    own = np.argsort(owner, kind="stable")  # the places of each set in the lists
+    cuts = np.searchsorted(owner[own], np.arange(n + 1))
+    least = np.searchsorted(100 * sizes, percent * sizes)  # the smallest set that could link
+    longest = int(length.max(initial=1))
+    for k in range(1, n):
+        if least[k] == k:
+            continue
+        places = own[cuts[k] : cuts[k + 1]]
+        before = places - begin[places]  # how many smaller sets each list holds
+        places, before = places[before > 0], before[before > 0]
+        most = max(1, int(threshold(sizes[k], sizes[least[k]], percent)))
+        if len(places) < most:
+            continue
+        by_length = np.argsort(before, kind="stable")
+        aside = max(0, min(most - 1, int(most / (_SKIP * np.log2(longest + 1) + 1))))
+        short, long = places[by_length[: len(places) - aside]], places[by_length[len(places) - aside :]]
+        open_ = known.names != known.names[k]
+        open_[: least[k]] = False
+        if pieces is not None:
+            open_ &= pieces != pieces[k]
+        lists = []
+        for p in short.tolist():
+            some = owner[begin[p] : p]
+            some = some[open_[some]]
+            if len(some):
+                lists.append(some.tolist())
+        merged = np.fromiter(heapq.merge(*lists), np.int64)
+        if not len(merged):
+            continue
+        turns = np.flatnonzero(np.concatenate(([True], merged[1:] != merged[:-1])))
+        found, met = merged[turns], np.diff(np.append(turns, len(merged)))
+        need = threshold(sizes[k], sizes[found], percent)
+        for left, p in zip(range(len(long), 0, -1), long.tolist(), strict=True):
+            some = met + left >= need
+            found, met, need = found[some], met[some], need[some]
+            if not len(found):
+                break
+            at = np.minimum(begin[p] + np.searchsorted(owner[begin[p] : p], found), p - 1)
+            met = met + (owner[at] == found)
+        for c in found[met >= need].tolist():
+            if known.names[c] != known.names[k]:
+                links.append((k, c))
+                known.join(k, c)
+    return links
+
+
+def _searcher(percent: int, threshold):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in whole_groups(batches, ["x"]):
-            x, y, hits = [], [], []
-            for cls, own in rows.groupby("x", sort=False):
-                size, merged = int(own["n"].iloc[0]), heapq.merge(*(zip(a.tolist(), b.tolist(), strict=True) for a, b in zip(own["ys"], own["ns"], strict=True)))
-                now, n, count = None, 0, 0
-                for c, m in [*merged, (None, 0)]:
-                    if c == now:
-                        count += 1
-                        continue
-                    if now is not None and count >= _threshold(size, n, percent)[1]:
-                        x.append(cls)
-                        y.append(now)
-                        hits.append(count)
-                    now, n, count = c, m, 1
+        for rows in whole_groups(batches, ["pivot", "low", "high"]):
+            key = rows[["pivot", "low", "high"]].to_numpy()
+            edges = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            x, y = [], []
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(rows)], strict=True):
+                unit = rows.iloc[a:b].sort_values(["n", "cls"])
+                if len(unit) != unit["rows"].iloc[0]:
+                    raise RuntimeError("a block of classes came apart, so links would be lost")
+                cls, sizes = unit["cls"].to_numpy(), unit["n"].to_numpy()
+                sets = [np.sort(np.asarray(m).view(np.uint64)) for m in unit["members"]]
+                pivot = int(np.flatnonzero(cls == key[a, 0])[0])
+                pieces = unit["piece"].to_numpy() if key[a, 1] != key[a, 2] else None
+                for k, c in search_block(sizes, sets, pivot, percent, threshold, pieces):
+                    x.append(cls[k])
+                    y.append(cls[c])
             if x:
-                yield pd.DataFrame({"x": x, "y": y, "hits": hits})
+                yield pd.DataFrame({"x": x, "y": y})
 
     return run
 
@@ -259,21 +331,6 @@ def _collector(wanted: keyfilter.Filter):
     return run
 
 
-def _probe(percent: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch["xs"], batch["ys"], strict=True):
-                a, b = np.asarray(a).view(np.uint64), np.asarray(b).view(np.uint64)
-                if len(a) > len(b):
-                    a, b = b, a
-                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                keep.append(int((b[at] == a).sum()) >= _threshold(len(a), len(b), percent)[0])
-            yield batch.loc[np.array(keep, bool), ["x", "y"]]
-
-    return run
-
-
 class _Join:
     def __init__(self, docs: DataFrame, percent: int, scratch: Scratch):
         self.percent, self.scratch, self.spark = percent, scratch, docs.sparkSession
@@ -290,84 +347,57 @@ class _Join:
         run = _divider(names[order], table[order, 1], self.percent)
         return self.scratch.table(self.texts.mapInPandas(run, "id string, key long, n long, cls long, rare long, short array<long>"))
 
-    def lists(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(shingle, cls, n, pivot, pivot_n) of short lists with more than one class, and (of, short_hits) of each class.
-
-        pivot_n is 0 where a posting has no pivot.
-        """
-        postings = rows.filter("short is not null").select(F.explode("short").alias("shingle"), "cls", "n", "rare")
-        postings = postings.repartition("shingle").sortWithinPartitions("shingle", "rare", "cls")
-        shared = postings.select("shingle", "cls", "n").mapInPandas(_shared, "shingle long, cls long, n long, pivot long, pivot_n long")
-        shared = self.scratch.table(shared)
-        return shared, self.scratch.table(shared.groupBy(F.col("cls").alias("of")).agg(F.count("*").alias("short_hits")))
-
-    def stars(self, shared: DataFrame, hits: DataFrame) -> DataFrame:
-        """(x, y): classes of long lists with the first of their list, where they could link."""
-        met = shared.filter("pivot_n > 0").select(F.col("cls").alias("x"), "n", F.col("pivot").alias("y"), "pivot_n").distinct()
-        met = met.filter(100 * F.least("n", "pivot_n") >= self.percent * F.greatest("n", "pivot_n"))
-        of = lambda c: hits.select(F.col("of").alias(f"{c}_of"), F.col("short_hits").alias(f"{c}_hits"))
-        met = met.join(of("x"), F.col("x") == F.col("x_of")).join(of("y"), F.col("y") == F.col("y_of"))
-        need = F.ceil(self.percent * (F.col("n") + F.col("pivot_n")) / (100 + self.percent))
-        least = need - F.greatest(F.ceil(self.percent * F.col("n") / 100), F.ceil(self.percent * F.col("pivot_n") / 100)) + 1
-        return self.scratch.table(met.filter(F.least("x_hits", "y_hits") >= least).select("x", "y"))
-
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        """(cls, members) of at least the classes in ``pairs``, from the texts, by a filter of fixed size."""
-        wanted = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct()
-        names = keyfilter.build(wanted.withColumnRenamed("cls", "key"))
+    def candidates(self, rows: DataFrame) -> DataFrame:
+        """(x, y): pairs that connect all classes whose listed shingles allow a link."""
+        postings = rows.filter("short is not null").select(F.explode("short").alias("shingle"), "n", "cls", "rare")
+        postings = postings.repartition("shingle").sortWithinPartitions("shingle", "n", "cls")
+        parts = postings.mapInPandas(_parts(self.percent), "shingle long, n long, cls long, rare long, part long")
+        parts = self.scratch.table(parts)
+        ordered = parts.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "rare", "cls")
+        visits = ordered.select("shingle", "part", "cls").mapInPandas(_visits, "pivot long, cls long").distinct()
+        listed = parts.groupBy(F.col("cls").alias("of")).agg(F.first("n").alias("n"), F.collect_list("shingle").alias("members"))
+        return self.search(visits, listed, _listed)
+
+    def search(self, visits: DataFrame, sets: DataFrame, threshold) -> DataFrame:
+        """(x, y) of all blocks from (pivot, cls) and the sets (of, n, members) of the classes."""
+        visits = self.scratch.table(visits.join(sets.select("of", "n", F.size("members").alias("size")), F.col("cls") == F.col("of")).drop("of"))
+        blocks = visits.groupBy(F.col("pivot").alias("of")).agg(F.ceil(F.sum("size") / float(PIECE)).cast("int").alias("pieces"))
+        work = visits.join(blocks, F.col("pivot") == F.col("of")).drop("of")
+        work = work.withColumn("piece", F.when(F.col("pivot") == F.col("cls"), -1).otherwise(F.pmod(F.xxhash64("cls"), F.col("pieces"))).cast("int"))
+        # pairs of pieces; the pivot, piece -1, is in all of them
+        last = F.col("pieces") - 1
+        pairs = F.when(F.col("piece") >= 0, F.transform(F.sequence(F.lit(0), last), lambda o: F.struct(F.least("piece", o).alias("low"), F.greatest("piece", o).alias("high"))))
+        every = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda a: F.transform(F.sequence(a, last), lambda b: F.struct(a.alias("low"), b.alias("high")))))
+        work = work.withColumn("pair", F.explode(F.coalesce(pairs, every))).select("pivot", "pair.low", "pair.high", "cls", "n", "piece")
+        unit = ["pivot", "low", "high"]
+        counts = work.groupBy(*[F.col(c).alias(f"of_{c}") for c in unit]).agg(F.count("*").alias("rows"))
+        counts = counts.filter("rows > 1")
+        whole = (F.col("pivot") == F.col("of_pivot")) & (F.col("low") == F.col("of_low")) & (F.col("high") == F.col("of_high"))
+        work = work.join(counts, whole).drop("of_pivot", "of_low", "of_high")
+        work = work.join(sets.select("of", "members"), F.col("cls") == F.col("of")).drop("of")
+        # the pieces come first, so that the keys are not those of a join before whose skewed groups Spark may split
+        work = work.repartition("low", "high", "pivot").sortWithinPartitions(*unit)
+        return self.scratch.table(work.mapInPandas(_searcher(self.percent, threshold), "x long, y long"))
+
+    def sets(self, classes: DataFrame) -> DataFrame:
+        """(cls, members) of the ``cls`` of all rows, from the texts."""
+        classes = classes.select("cls").distinct()
+        names = keyfilter.build(classes.withColumnRenamed("cls", "key"))
         found = self.texts.select("text").mapInPandas(_collector(names), "cls long, members array<long>")
-        exact = found.join(wanted.withColumnRenamed("cls", "w"), F.col("cls") == F.col("w"), "left_semi")
-        return self.scratch.table(exact.groupBy("cls").agg(F.first("members").alias("members")))
-
-    def probed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The (x, y) of ``pairs`` that link."""
-        xs = sets.select(F.col("cls").alias("x"), F.col("members").alias("xs"))
-        ys = sets.select(F.col("cls").alias("y"), F.col("members").alias("ys"))
-        both = pairs.select("x", "y").join(ys, "y").join(xs, "x")
-        return self.scratch.table(both.mapInPandas(_probe(self.percent), "x long, y long"))
+        return found.dropDuplicates(["cls"])
 
     def labels(self, links: DataFrame) -> DataFrame:
         return components(links.select(F.col("x").alias("a"), F.col("y").alias("b")), self.scratch)
 
     def links(self, rows: DataFrame) -> DataFrame:
         """Links (x, y) between classes, enough of them to connect what any link connects."""
-        scratch = self.scratch
-        shared, hits = self.lists(rows)
-        stars = self.stars(shared, hits)
-        named = shared.select("shingle", "cls", "n").join(hits, F.col("cls") == F.col("of")).drop("of").withColumn("label", F.col("cls"))
-        known = None
-        if not stars.isEmpty():
-            known = self.probed(stars, self.sets(stars))
-            label = self.labels(known).withColumnRenamed("label", "l")
-            named = named.join(label, F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("l", "cls")).drop("node", "l")
-        # only lists that one task shouldn't hold are cut into pieces
-        sizes = shared.groupBy(F.col("shingle").alias("of")).agg(F.count("*").alias("size")).filter(F.col("size") > PIECE)
-        named = named.join(scratch.table(sizes), F.col("shingle") == F.col("of"), "left").withColumn(
-            "pieces", F.coalesce(F.ceil(F.col("size") / float(PIECE)), F.lit(1)).cast("int")
-        )
-        named = named.withColumn("piece", F.pmod(F.xxhash64("cls"), F.col("pieces")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
-        # low and high come first: a repartition by the keys of a join before it would be left out, and
-        # the split of a skewed join would then cut lists apart
-        work = named.withColumn("other", other).select(
-            "shingle", "cls", "n", "short_hits", "label", "piece",
-            F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"),
-        )
-        work = work.repartition("low", "high", "shingle").sortWithinPartitions("shingle", "low", "high")
-        met = work.mapInPandas(_pairs(self.percent), "x long, n long, ys array<long>, ns array<long>")
-        found = met.repartition("x").sortWithinPartitions("x").mapInPandas(_merge(self.percent), "x long, y long, hits long")
-        candidates = scratch.table(found)
-        if candidates.isEmpty():
-            return known if known is not None else candidates.select("x", "y")
-        sets = self.sets(candidates)
-        best = candidates.groupBy("x").agg(F.max_by("y", F.struct("hits", "y")).alias("y"))
-        first = self.probed(best, sets)
-        known = first if known is None else scratch.table(known.unionByName(first))
-        label = self.labels(known)
-        a, b = (label.select(F.col("node").alias(f"{c}_node"), F.col("label").alias(f"{c}_label")) for c in "xy")
-        left = candidates.join(a, F.col("x") == F.col("x_node"), "left").join(b, F.col("y") == F.col("y_node"), "left")
-        left = left.filter(F.coalesce("x_label", "x") != F.coalesce("y_label", "y"))
-        return scratch.table(known.unionByName(self.probed(left, sets)))
+        near = self.labels(self.candidates(rows))
+        known = rows.filter("short is not null").select(F.col("cls").alias("of"), "rare").distinct()
+        near = self.scratch.table(near.join(known, F.col("node") == F.col("of")).select(F.col("node").alias("cls"), "label", "rare"))
+        pivots = near.groupBy(F.col("label").alias("of")).agg(F.min_by("cls", F.struct("rare", "cls")).alias("pivot"))
+        visits = near.join(pivots, F.col("label") == F.col("of")).select("pivot", "cls")
+        sets = self.scratch.table(self.sets(near))
+        return self.search(visits, sets.select(F.col("cls").alias("of"), F.size("members").cast("long").alias("n"), "members"), _overlap)
 
 
 def _labelled(docs: DataFrame, percent: int, scratch: Scratch | None) -> DataFrame:
