@@ -144,7 +144,7 @@ def _compatible(x, y, percent: int):
 
 
 def _parts(percent: int):
-    """Postings, sorted by shingle and size, that have one of a compatible size beside them; part names their part.
+    """Postings, sorted by shingle and n_rare (size, then rare shingles), that have one of a compatible size beside them; part names their part.
 
     Only one posting is kept from batch to batch, so a list may be of any length.
     """
@@ -160,7 +160,8 @@ def _parts(percent: int):
             new = np.ones(len(rows), bool)
             new[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])  # a class that two tasks met
             rows = rows[new].reset_index(drop=True)
-            s, n = rows["shingle"].to_numpy(), rows["n"].to_numpy()
+            s, both = rows["shingle"].to_numpy(), rows["n_rare"].to_numpy()
+            n = both >> 32
             meets = np.zeros(len(rows), bool)
             meets[1:] = (s[1:] == s[:-1]) & _compatible(n[1:], n[:-1], percent)
             if lead:
@@ -173,10 +174,14 @@ def _parts(percent: int):
             keep[:-1] |= meets[1:]
             last = keep[:-1]  # the last one waits for the next batch
             if last.any():
-                yield rows.iloc[:-1][last].assign(part=part[:-1][last])
+                yield opened(rows.iloc[:-1][last], part[:-1][last])
             held, joined, start = rows.iloc[-1:].reset_index(drop=True), bool(meets[-1]), int(part[-1])
         if held is not None and joined:
-            yield held.assign(part=start)
+            yield opened(held, start)
+
+    def opened(rows: pd.DataFrame, part) -> pd.DataFrame:
+        both = rows["n_rare"].to_numpy()
+        return pd.DataFrame({"shingle": rows["shingle"], "n": both >> 32, "cls": rows["cls"], "rare": both & 0xFFFFFFFF, "part": part})
 
     return run
 
@@ -349,8 +354,8 @@ class _Join:
 
     def candidates(self, rows: DataFrame) -> DataFrame:
         """(x, y): pairs that connect all classes whose listed shingles allow a link."""
-        postings = rows.filter("short is not null").select(F.explode("short").alias("shingle"), "n", "cls", "rare")
-        postings = postings.repartition("shingle").sortWithinPartitions("shingle", "n", "cls")
+        postings = rows.filter("short is not null").select(F.explode("short").alias("shingle"), (F.shiftleft("n", 32) + F.col("rare")).alias("n_rare"), "cls")
+        postings = postings.repartition("shingle").sortWithinPartitions("shingle", "n_rare", "cls")
         parts = postings.mapInPandas(_parts(self.percent), "shingle long, n long, cls long, rare long, part long")
         parts = self.scratch.table(parts)
         ordered = parts.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "rare", "cls")
