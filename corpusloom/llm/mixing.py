@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.llm.scratch import Scratch
+from corpusloom.llm.scratch import Scratch, free_names
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -111,18 +111,15 @@ def mix_plan(docs: DataFrame, scratch: Scratch | None = None, **targets) -> Data
 def mix(docs: DataFrame, **targets) -> DataFrame:
     """The mixed documents: the rows of ``docs``, each as often as the plan emits it."""
     cols = docs.columns
-    plan = mix_plan(docs, **targets).select(F.col("doc_id").alias("_p_id"), F.col("text_key").alias("_p_key"), "source", "copies")
-    plan = plan.groupBy("_p_id", "_p_key", F.col("source").alias("_p_source")).agg(
-        F.sum("copies").alias("_p_copies"), F.count("*").alias("_p_rows")
-    )
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    nth = F.row_number().over(W.partitionBy("doc_id", "_key", "source").orderBy(F.lit(1)))
-    out = keyed.withColumn("_nth", nth).join(
+    p_id, p_key, p_source, p_copies, p_rows, key, place, emit = free_names(docs, 8)
+    plan = mix_plan(docs, **targets).select(F.col("doc_id").alias(p_id), F.col("text_key").alias(p_key), F.col("source").alias(p_source), "copies")
+    plan = plan.groupBy(p_id, p_key, p_source).agg(F.sum("copies").alias(p_copies), F.count("*").alias(p_rows))
+    # rows that agree in id, text and source share their copies evenly
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    nth = F.row_number().over(W.partitionBy("doc_id", key, "source").orderBy(F.lit(1)))
+    out = keyed.withColumn(place, nth).join(
         plan,
-        F.col("doc_id").eqNullSafe(F.col("_p_id"))
-        & F.col("_key").eqNullSafe(F.col("_p_key"))
-        & F.col("source").eqNullSafe(F.col("_p_source")),
+        F.col("doc_id").eqNullSafe(F.col(p_id)) & F.col(key).eqNullSafe(F.col(p_key)) & F.col("source").eqNullSafe(F.col(p_source)),
     )
-    # rows that agree in id, text and source share their copies evenly
-    share = F.expr("(_p_copies * _nth) div _p_rows - (_p_copies * (_nth - 1)) div _p_rows")
-    return out.withColumn("_emit", F.explode(F.array_repeat(F.lit(1), share.cast("int")))).select(*cols)
+    share = F.expr(f"({p_copies} * {place}) div {p_rows} - ({p_copies} * ({place} - 1)) div {p_rows}")
+    return out.withColumn(emit, F.explode(F.array_repeat(F.lit(1), share.cast("int")))).select(*cols)

@@ -41,12 +41,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.llm import keyfilter, shingles
 from corpusloom.llm.components import components
-from corpusloom.llm.scratch import Scratch
+from corpusloom.llm.scratch import Scratch, free_names
 
 PERCENT = 75
 #: Shingles that a task holds of a block, at about 60 bytes each.
@@ -439,14 +439,10 @@ def keep_one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         first.select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_key")),
         F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_key") == F.col("k_key")), "left_anti",
     )
-    gone = gone.select(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key"))
-    out = docs.withColumn("_key", F.xxhash64("text"))
-    out = out.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("_key") == F.col("g_key")), "left_anti")
-    nth: Column = F.row_number().over(_rows_alike())
-    return out.withColumn("_nth", nth).filter((F.col("_nth") == 1) | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
-
-
-def _rows_alike():
-    from pyspark.sql import Window as W
-
-    return W.partitionBy("doc_id", "_key").orderBy(F.lit(1))
+    g_id, g_key, key, place = free_names(docs, 4)
+    gone = gone.select(F.col("doc_id").alias(g_id), F.col("text_key").alias(g_key))
+    out = docs.withColumn(key, F.xxhash64("text"))
+    out = out.join(gone, F.col("doc_id").eqNullSafe(F.col(g_id)) & (F.col(key) == F.col(g_key)), "left_anti")
+    alike = W.partitionBy("doc_id", key).orderBy(F.lit(1))
+    out = out.withColumn(place, F.row_number().over(alike))
+    return out.filter((F.col(place) == 1) | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)

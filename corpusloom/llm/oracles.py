@@ -13,8 +13,11 @@ WITH raw AS (
 ), copies AS (
     SELECT doc_id, i FROM pairs WHERE next_line IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, i) > 1
+), wordy AS (
+    SELECT doc_id, i FROM filled WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50
+    QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1
 ), dead AS (
-    SELECT DISTINCT doc_id, i FROM (SELECT doc_id, i FROM copies UNION ALL SELECT doc_id, i + 1 FROM copies)
+    SELECT DISTINCT doc_id, i FROM (SELECT doc_id, i FROM copies UNION ALL SELECT doc_id, i + 1 FROM copies UNION ALL FROM wordy)
 ), runs AS (
     SELECT doc_id, min(i) AS a, max(i) AS b, count(*) AS n
     FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM dead)

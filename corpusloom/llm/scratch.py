@@ -38,6 +38,16 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free_names(df: DataFrame, count: int) -> list[str]:
+    """Column names that ``df`` doesn't have, in any case of letters."""
+    taken, found, k = {c.lower() for c in df.columns}, [], 0
+    while len(found) < count:
+        if (name := f"inner_{k}") not in taken:
+            found.append(name)
+        k += 1
+    return found
+
+
 class Scratch:
     """A folder of tables for one run of an operator.
 

@@ -63,10 +63,10 @@ def by_id(frame, *cols):
 # --- line dedup
 
 
-def brute_lines(rows, k):
+def brute_lines(rows, k, min_words=50):
     docs = sorted([(i is not None, i or 0, t) for i, t, *_ in rows if t is not None])
     filled = [[(p, x) for p, x in enumerate(t.split("\n")) if re.search(r"[^ \t-\r]", x)] for *_, t in docs]
-    seen, out = set(), []
+    seen, long, out = set(), set(), []
     for lines in filled:
         dead = set()
         for j in range(len(lines) - k + 1):
@@ -74,6 +74,11 @@ def brute_lines(rows, k):
             if run in seen:
                 dead.update(range(j, j + k))
             seen.add(run)
+        for j, (_, x) in enumerate(lines):
+            if len(WORD.findall(x)) >= min_words:
+                if x in long:
+                    dead.add(j)
+                long.add(x)
         out.append(dead)
     kept = []
     for (known, i, t), lines, dead in zip(docs, filled, out):
@@ -94,6 +99,26 @@ def test_line_dedup(spark, k):
     assert got == brute_lines(rows, k)
 
 
+def test_line_dedup_of_long_single_lines(spark):
+    passage, short = " ".join(f"p{k}" for k in range(50)), " ".join(f"p{k}" for k in range(49))
+    rows = [(k, f"head {k}\n{passage}\nmid {k}\n\n{short}\ntail {k}", "en", "a") for k in range(4)] + [(9, passage, "en", "b"), (None, passage, "en", "b")]
+    got = by_id(line_dedup.dedup_lines(table(spark, rows)), "text")
+    assert got == brute_lines(rows, 2) and ("p49" in got[0][1]) + ("p49" in got[-1][1]) == 1 and all("p48" in t for i, t in got if i in (1, 2, 3))
+    kept = by_id(line_dedup.dedup_lines(table(spark, rows), min_words=None), "text")
+    assert kept == brute_lines(rows, 2, 10**9)
+
+
+def test_columns_with_any_name_come_back(spark):
+    rows = [(1, "a\nb\nc", "a", "x"), (2, "a\nb\nd", "a", "y"), (2, "a\nb\nd", "a", "y"), (3, None, None, "z"), (4, "", "b", "w")]
+    names = ["_key", "_nth", "_dh", "_lines", "inner_0", "inner_1", "Inner_2", "copies", "label", "text_key"]
+    docs = spark.createDataFrame([(*r[:3], *[r[3] + c for c in names]) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names))
+    for keep in (line_dedup.dedup_lines, ngram_join.keep_one_of_each, mixing.mix):
+        out = keep(docs)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[c] == r["_key"][:1] + c for r in got for c in names)
+
+
 def test_line_dedup_of_null_repeated_and_no_rows(spark):
     rows = [(1, None, "en", "a"), (2, "a\nb", "en", "a"), (2, "a\nb", "en", "a"), (3, "", "en", "a")]
     assert by_id(line_dedup.dedup_lines(table(spark, rows)), "text") == [(1, None), (2, "a\nb"), (2, "a\nb"), (3, "")]
