@@ -20,7 +20,10 @@ def recognise_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of two or more lines are deleted; every document stays."""
+    """Later copies of runs of two or more lines, and of single lines of 50 words or more, are deleted.
+
+    Every document stays, also with null or empty text; null ids come first in the order of documents.
+    """
     return line_dedup.dedup_lines(docs)
 
 

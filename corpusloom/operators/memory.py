@@ -100,15 +100,21 @@ def evicted(entries: DataFrame, capacity: int, share: float) -> DataFrame:
     return whole.unionByName(rest)
 
 
-def cache_lookup(queries: DataFrame, entries: DataFrame, recent: int, least: float) -> DataFrame:
-    """Best similar entry of each query among the ``recent`` last used, if its cosine reaches ``least``.
+def cache_lookup(queries: DataFrame, entries: DataFrame, recent: int, least: float, enough: float = 0.98) -> DataFrame:
+    """Similar entry of each query among the ``recent`` last used, if its cosine reaches ``least``.
 
-    queries: (query_id, q, version), entries: (entry_id, v, version, last_access). A hit of
-    another version is a miss. The entries compared are bounded by ``recent`` and broadcast.
+    The first by recency that reaches ``enough`` ends the search if none before it is better;
+    else the best is taken. queries: (query_id, q, version), entries: (entry_id, v, version,
+    last_access). A hit of another version is a miss. The entries compared are bounded by
+    ``recent`` and broadcast.
     """
     last = entries.orderBy(F.col("last_access").desc(), "entry_id").limit(recent).withColumnRenamed("version", "entry_version")
+    last = last.withColumn("place", F.row_number().over(W.orderBy(F.col("last_access").desc(), "entry_id")))  # at most ``recent`` rows
     both = queries.join(F.broadcast(last), F.lit(True)).withColumn("score", F.round(vectors.cosine(F.col("q"), F.col("v")), 6))
-    best = both.filter(F.col("score") >= least).groupBy("query_id").agg(F.max_by(F.struct("entry_id", "score", "version", "entry_version"), F.struct("score", -F.col("entry_id"))).alias("b"))
+    # a score of ``enough`` ends the search, so among these the first counts, whatever comes later
+    order = F.struct((F.col("score") >= enough).alias("ends"), F.when(F.col("score") >= enough, 1.0).otherwise(F.col("score")).alias("rated"), (-F.col("place")).alias("first"))
+    hit = F.struct("entry_id", "score", "version", "entry_version")
+    best = both.filter(F.col("score") >= least).groupBy("query_id").agg(F.max_by(hit, order).alias("b"))
     return best.filter("b.version = b.entry_version").select("query_id", "b.entry_id", "b.score")
 
 

@@ -122,19 +122,67 @@ def with_siblings(parents: DataFrame, sections: DataFrame, window: int, most_cha
     return kept.select("query_id", "parent_id", "place", F.when(F.col("part") == 0, "hit").otherwise("sibling").alias("origin"))
 
 
-def timeliness(effective: Column, expires: Column, now: Column) -> Column:
-    days = F.date_diff(now, effective)
-    return (
-        F.when(expires < now, 0.0).when(effective.isNull(), 0.8).when(days > 1095, 0.6).when(days > 730, 0.75).when(days > 365, 0.85).otherwise(1.0)
-    )
-
-
-def confidence(best: Column, gap: Column, relevant: Column, overlap: Column, timely: Column, authority: Column) -> Column:
-    """Banded shares of best score, gap, count and overlap, times timeliness and authority."""
-    by_score = F.when(best >= 0.5, 0.3).when(best >= 0.2, 0.2).when(best >= 0.05, 0.1).otherwise(0.0)
-    by_gap = F.when(gap >= 0.2, 0.2).when(gap >= 0.05, 0.1).otherwise(0.0)
-    by_count = F.when(relevant >= 3, 0.3).when(relevant == 2, 0.2).when(relevant == 1, 0.1).otherwise(0.0)
-    return F.round((by_score + by_gap + by_count + 0.2 * overlap) * timely * authority, 4)
+#: Fixed values of the reference's scores: (least, share), highest first.
+SCORE_BANDS = ((0.10, 0.3), (0.03, 0.2), (0.01, 0.1))
+GAP_BANDS = ((0.05, 0.2), (0.02, 0.1))
+COUNT_BANDS = ((3, 0.3), (2, 0.2), (1, 0.1))
+OVERLAP_BANDS = ((0.8, 0.2), (0.5, 0.1))
+AGE_BANDS = ((1095, 0.6), (730, 0.75), (365, 0.85))
+AUTHORITY = {
+    "national_guideline": 1.0, "society_consensus": 0.95, "textbook": 0.90, "institutional_protocol": 0.85,
+    "expert_opinion": 0.75, "training_material": 0.65, "faq": 0.55, "unknown": 0.60,
+}
+
+
+def banded(value: Column, bands: Sequence[tuple[float, float]], above: bool = False, default: float = 0.0) -> Column:
+    """The share of the first band that the value reaches, or lies above."""
+    out = F.when(F.lit(False), F.lit(default))
+    for least, share in bands:
+        out = out.when(value > least if above else value >= least, F.lit(share))
+    return out.otherwise(F.lit(default))
+
+
+def timeliness(effective: Column, expires: Column, now: Column, modified: Column | None = None) -> Column:
+    """0 once expired, else by the age of the effective date, else of the file, else 0.8."""
+    by_age = lambda day: banded(F.date_diff(now, day), AGE_BANDS, above=True, default=1.0)
+    out = F.when(expires < now, 0.0).when(effective.isNotNull(), by_age(effective))
+    if modified is not None:
+        out = out.when(modified.isNotNull(), by_age(modified))
+    return out.otherwise(0.8)
+
+
+def authority(level: Column, weights: dict[str, float] = AUTHORITY, unknown: float = 0.60) -> Column:
+    table = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(v))])
+    return F.coalesce(F.try_element_at(table, F.coalesce(level, F.lit("unknown"))), F.lit(unknown))
+
+
+def confidence(
+    best: Column, gap: Column, relevant: Column, overlap: Column, timely: Column, authority: Column,
+    bands: Sequence[Sequence[tuple[float, float]]] = (SCORE_BANDS, GAP_BANDS, COUNT_BANDS, OVERLAP_BANDS),
+) -> Column:
+    """Shares of best score, gap, count and overlap by band, times timeliness and authority."""
+    by_score, by_gap, by_count, by_overlap = (banded(v, b) for v, b in zip((best, gap, relevant, overlap), bands, strict=True))
+    return F.round((by_score + by_gap + by_count + by_overlap) * timely * authority, 4)
+
+
+def skips_rerank(query: Column, candidates: Column, distance: Column, greetings: Sequence[str], near: float = 0.08, short: int = 4) -> Column:
+    """Whether ranking anew can't change the answer: nothing found, small talk, or a first hit that is very near."""
+    plain = F.regexp_replace(F.lower(F.trim(F.coalesce(query, F.lit("")))), r"[，。！？,.!?\s]", "")
+    return (candidates == 0) | plain.isin(list(greetings)) | (F.length(plain) <= short) | F.coalesce((distance >= 0) & (distance < near), F.lit(False))
+
+
+def cited_sources(hits: DataFrame, chars: int = 200) -> DataFrame:
+    """One row a source of each query, its first hit: (query_id, nth, source, content). hits: (query_id, rank, source, text)."""
+    first = hits.groupBy("query_id", "source").agg(F.min_by("text", "rank").alias("text"), F.min("rank").alias("rank"))
+    nth = F.row_number().over(W.partitionBy("query_id").orderBy("rank", "source"))
+    return first.select("query_id", nth.alias("nth"), "source", F.substring("text", 1, chars).alias("content"))
+
+
+def answer_overlap(left: DataFrame, right: DataFrame, chars: int = 80) -> DataFrame:
+    """Jaccard of two lists of hits by the first characters of their texts: (query_id, overlap). Both: (query_id, text)."""
+    cut = lambda df, side: df.select("query_id", F.substring("text", 1, chars).alias("head"), F.lit(side).alias("side")).distinct()
+    per = cut(left, 1).unionByName(cut(right, 2)).groupBy("query_id", "head").agg(F.sum("side").alias("sides"))
+    return per.groupBy("query_id").agg((F.count_if(F.col("sides") == 3) / F.count("*")).alias("overlap"))
 
 
 def relevant(candidates: DataFrame, fillers: Sequence[str], always: int = 2) -> DataFrame:

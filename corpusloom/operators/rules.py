@@ -154,18 +154,30 @@ def interactions(items: DataFrame, rules: DataFrame) -> DataFrame:
     return first.join(one.withColumnRenamed("item", "other").withColumnRenamed("id", "of"), (F.col("id") == F.col("of")) & (F.col("b") == F.col("other"))).select("id", "a", "b", "risk")
 
 
-def combinations(items: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rules all of whose items a basket has (relational division): (id, rule). rules: (rule, item)."""
-    needed = rules.groupBy("rule").agg(F.countDistinct("item").alias("needed"))
-    have = items.distinct().join(F.broadcast(rules.distinct()), "item").groupBy("id", "rule").agg(F.count("*").alias("have"))
-    return have.join(F.broadcast(needed), "rule").filter("have = needed").select("id", "rule")
+def _either_holds(items: Column, word: str) -> Column:
+    """Whether an item contains the word or the word an item."""
+    return F.exists(items, lambda x: F.contains(x, F.lit(word)) | F.contains(F.lit(word), x))
 
 
-def urgency(emergency: Column, combination: Column, severity: Column, hours: Column, urgent: Column) -> Column:
-    return (
-        F.when(emergency, "emergency").when(combination, "emergency").when(severity == "severe", "urgent").when(hours > 72, "visit")
-        .when(urgent, "visit").otherwise("home")
-    )
+def combinations(items: DataFrame, rules: dict[str, Sequence[str]]) -> DataFrame:
+    """Rules all of whose words a basket has, as part of an item or with one as their part: (id, rule).
+
+    items: (id, item); a basket's distinct items are brought together, as a person's few findings are.
+    """
+    baskets = items.groupBy("id").agg(F.collect_set("item").alias("items"))
+    met = []
+    for name, words in rules.items():
+        every = F.lit(True)
+        for w in words:
+            every = every & _either_holds(F.col("items"), w)
+        met.append(F.when(every, F.lit(name)))
+    return baskets.select("id", F.explode(F.array_compact(F.array(*met))).alias("rule"))
+
+
+def urgency(emergency: Column, combination: Column, severity: Column, hours: Column, urgent: Column, longest: float = 72, severe: Sequence[str] = ("severe",)) -> Column:
+    """red for an emergency or a dangerous combination, yellow for severity, duration or a finding to watch, else green."""
+    watch = severity.isin(list(severe)) | (hours > longest) | urgent
+    return F.when(emergency | combination, "red").when(watch, "yellow").otherwise("green")
 
 
 def assertions(texts: DataFrame, patterns: Sequence[str]) -> DataFrame:

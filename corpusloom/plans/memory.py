@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import tokens
 from corpusloom.operators import conversation as c, evaluation as x, memory as m
+from corpusloom.plans import retrieval
 from corpusloom.plans.tables import read
 
 NOW = "2024-01-25 00:00:00"
@@ -76,8 +77,8 @@ def lru_evict(spark, sf_dir):
 
 def semantic_cache_lookup(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
-    asked = e.filter("vec_id % 10 = 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), (F.col("vec_id") % 3).alias("version"))
-    known = e.filter("vec_id % 10 <> 3").select(F.col("vec_id").alias("entry_id"), F.col("embedding").alias("v"), (F.col("vec_id") % 2).alias("version"), F.col("vec_id").alias("last_access"))
+    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), (F.col("vec_id") % 3).alias("version"))
+    known = e.select(F.col("vec_id").alias("entry_id"), F.col("embedding").alias("v"), (F.col("vec_id") % 2).alias("version"), F.col("vec_id").alias("last_access"))
     return m.cache_lookup(asked, known, RECENT, 0.25).select("query_id", "entry_id")
 
 
@@ -120,13 +121,13 @@ def context_route(spark, sf_dir):
 
 
 def _samples(spark, sf_dir):
-    b = read(spark, sf_dir, "benchmark")
-    d = read(spark, sf_dir, "documents")
-    t = tokens(F.substring("text", 1, 300))
-    ctx = d.select((F.col("doc_id") % 40).alias("item_id"), "doc_id", t.alias("c")).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "c"))).alias("cs"))
-    ctx = ctx.select("item_id", F.slice(F.transform("cs", lambda v: v["c"]), 1, 3).alias("contexts"))
-    answer = F.slice(tokens(F.col("text")), 5, 40)
-    return b.join(ctx, "item_id").select(F.col("item_id").alias("id"), F.slice(tokens(F.col("text")), 1, 12).alias("question"), answer.alias("answer"), "contexts")
+    """Each benchmark item as a question, its best hit as the answer, the next three hits as contexts, all whole."""
+    q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), tokens(F.col("text")).alias("question"))
+    hits = retrieval.bm25_hits(spark, sf_dir, 4).join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
+    hits = hits.select(F.col("query_id").alias("id"), "rank", tokens(F.col("text")).alias("t"))
+    rest = F.array_sort(F.collect_list(F.when(F.col("rank") > 1, F.struct("rank", "t"))))
+    per = hits.groupBy("id").agg(F.max(F.when(F.col("rank") == 1, F.col("t"))).alias("answer"), F.transform(rest, lambda v: v["t"]).alias("contexts"))
+    return q.join(per, "id").select("id", "question", "answer", "contexts")
 
 
 def rule_metrics(spark, sf_dir):
@@ -176,10 +177,12 @@ QUERIES = {f.__name__: f for f in (
 
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 _TOK = "regexp_extract_all(lower({0}), '[一-鿿a-z0-9]+')"
-_SAMPLES = f"""ctx AS (SELECT doc_id % 40 AS id, list({_TOK.format('substr(text, 1, 300)')} ORDER BY doc_id)[1:3] AS contexts FROM documents GROUP BY 1),
-s AS (SELECT item_id AS id, {_TOK.format('text')}[1:12] AS question, {_TOK.format('text')}[5:44] AS answer, contexts FROM benchmark JOIN ctx ON ctx.id = item_id),
+_SAMPLES = f"""{retrieval.BM25_SQL},
+h AS (SELECT query_id AS id, rank, {_TOK.format('text')} AS t FROM ranked JOIN d USING (chunk_id) WHERE rank <= 4),
+g AS (SELECT id, arg_min(t, rank) AS answer, coalesce(list(t ORDER BY rank) FILTER (rank > 1), []) AS contexts FROM h GROUP BY id),
+sam AS (SELECT id, {_TOK.format('question')} AS question, answer, contexts FROM g JOIN q ON q.query_id = id),
 m AS (SELECT id, len(list_intersect(answer, flatten(contexts))) / len(list_distinct(answer))::DOUBLE AS faithfulness, len(list_intersect(question, answer)) / len(list_distinct(question))::DOUBLE AS relevance,
-  len(list_intersect(question, flatten(contexts))) / len(list_distinct(question))::DOUBLE AS context_relevance, len(list_filter(contexts, lambda c: list_has_any(c, question))) / len(contexts)::DOUBLE AS context_precision FROM s)"""
+  len(list_intersect(question, flatten(contexts))) / len(list_distinct(question))::DOUBLE AS context_relevance, len(list_filter(contexts, lambda c: list_has_any(c, question))) / len(contexts)::DOUBLE AS context_precision FROM sam)"""
 _LONG = "UNPIVOT {0} ON faithfulness, relevance, context_relevance, context_precision INTO NAME metric VALUE score"
 
 ORACLES = {
@@ -200,9 +203,9 @@ UNION ALL SELECT id, retries + 1, 'pending' FROM f WHERE k % 4 = 0 AND retries +
     "ttl_lookup": f"SELECT event_id AS key FROM events WHERE epoch(TIMESTAMP '{NOW}')::BIGINT - floor(epoch(ts))::BIGINT < {_K} * 3600",
     "lru_evict": """WITH e AS (SELECT user_id AS key, max(ts) AS a FROM events GROUP BY 1), n AS (SELECT count(*) AS n FROM e)
 SELECT key FROM e, n WHERE n >= 50 QUALIFY row_number() OVER (ORDER BY a, key) <= floor(n * 0.2::DOUBLE)""",
-    "semantic_cache_lookup": f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), e AS (SELECT * FROM v WHERE vec_id % 10 <> 3 ORDER BY vec_id DESC LIMIT {RECENT}),
-s AS (SELECT q.vec_id AS query_id, e.vec_id AS entry_id, round(list_dot_product(q.v, e.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v))), 6) AS score FROM v q, e WHERE q.vec_id % 10 = 3),
-b AS (SELECT * FROM s WHERE score >= 0.25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) = 1)
+    "semantic_cache_lookup": f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), e AS (SELECT * FROM v ORDER BY vec_id DESC LIMIT {RECENT}),
+s AS (SELECT q.vec_id AS query_id, e.vec_id AS entry_id, round(list_dot_product(q.v, e.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v))), 6) AS score FROM v q, e WHERE q.vec_id % 50 = 0),
+b AS (SELECT * FROM s WHERE score >= 0.25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score >= 0.98 DESC, CASE WHEN score < 0.98 THEN score END DESC, entry_id DESC) = 1)
 SELECT query_id, entry_id FROM b WHERE query_id % 3 = entry_id % 2""",
     "adaptive_threshold": """WITH s AS (SELECT event_type AS name, list_sort(list(value)) AS v, avg(value) - stddev_pop(value) AS b FROM events GROUP BY 1)
 SELECT name, greatest(2.0::DOUBLE, least(60.0::DOUBLE, v[least(floor(len(v) * 0.1::DOUBLE)::BIGINT, len(v) - 1) + 1])) AS at_share, round(greatest(2.0::DOUBLE, least(60.0::DOUBLE, b)), 6) AS below_mean FROM s""",
@@ -222,7 +225,7 @@ g AS (SELECT conv_id, coalesce(bool_or(s) FILTER (b BETWEEN 2 AND 5), false) AS
 SELECT conv_id, CASE WHEN f AND s THEN 'symptom' WHEN s AND NOT k THEN 'symptom' WHEN k AND NOT s THEN 'knowledge' END AS route FROM g""",
     "rule_metrics": f"WITH {_SAMPLES} SELECT * FROM m",
     "metric_averages": f"WITH {_SAMPLES} SELECT metric, round(avg(score), 4) AS mean FROM ({_LONG.format('m')}) GROUP BY metric",
-    "version_compare": f"""WITH {_SAMPLES}, l AS ({_LONG.format('m')}), a AS (SELECT metric, round(avg(score) FILTER (id % 2 = 0 AND metric <> 'relevance'), 4) AS old, round(avg(score) FILTER (id % 2 = 1), 4) AS new FROM l GROUP BY metric)
+    "version_compare": f"""WITH {_SAMPLES}, lg AS ({_LONG.format('m')}), a AS (SELECT metric, round(avg(score) FILTER (id % 2 = 0 AND metric <> 'relevance'), 4) AS old, round(avg(score) FILTER (id % 2 = 1), 4) AS new FROM lg GROUP BY metric)
 SELECT metric, coalesce(old, 0.0::DOUBLE) AS old, new, round(new - coalesce(old, 0), 4) AS delta, CASE WHEN round(new - coalesce(old, 0), 4) > 1e-9 THEN 'improved' WHEN round(new - coalesce(old, 0), 4) < -1e-9 THEN 'regressed' ELSE 'unchanged' END AS verdict FROM a""",
     "classification_report": """WITH p AS (SELECT quality AS t, CASE WHEN doc_id % 5 = 0 THEN 1 - quality ELSE quality END AS g FROM labels), k AS (SELECT unnest([0, 1]) AS label),
 c AS (SELECT label, count(*) FILTER (t = label) AS support, count(*) FILTER (g = label) AS guessed, count(*) FILTER (t = label AND g = label) AS hit FROM k, p GROUP BY label),

@@ -27,6 +27,11 @@ def _bm25(spark, sf_dir, k=K):
     return r.bm25_top_k(r.term_counts(q, "query_id", tokens(F.col("question"))), postings, lengths, k)
 
 
+def bm25_hits(spark, sf_dir, k):
+    """(query_id, chunk_id, rank) of the k best documents of every benchmark item."""
+    return _bm25(spark, sf_dir, k)
+
+
 def bm25_topk(spark, sf_dir):
     return _bm25(spark, sf_dir).select("query_id", "chunk_id", "rank")
 
@@ -79,11 +84,36 @@ def query_overlap_filter(spark, sf_dir):
 
 
 def keyword_recall(spark, sf_dir):
-    words = _queries(spark, sf_dir).select("query_id", F.explode(F.slice(F.array_distinct(tokens(F.col("question"), 4)), 1, 5)).alias("keyword"))
+    words = _queries(spark, sf_dir).select("query_id", F.explode(F.array_distinct(tokens(F.col("question"), 4))).alias("keyword"))
     hits = _bm25(spark, sf_dir, 3).join(_docs(spark, sf_dir), "chunk_id").select("query_id", "text")
     return r.keyword_recall(words.join(hits, "query_id"))
 
 
+def rerank_skips(spark, sf_dir):
+    """Questions, turns of conversations and greetings, with made-up distances of their first hit."""
+    c = read(spark, sf_dir, "conversations")
+    said = F.when(F.col("turn") % 5 == 0, "Hello!").when(F.col("turn") % 7 == 0, " ok? ").otherwise(F.col("text"))
+    skip = r.skips_rerank(said, F.col("conv_id") % 6, F.when(F.col("turn") % 3 != 0, (F.col("conv_id") % 40 - 2) / 100.0), ["hello", "hi", "thanks"])
+    return c.select("conv_id", "turn", skip.alias("skip"))
+
+
+def cited_sources(spark, sf_dir):
+    hits = _bm25(spark, sf_dir).join(_docs(spark, sf_dir), "chunk_id").select("query_id", "rank", F.coalesce("source", F.lit("unknown")).alias("source"), "text")
+    return r.cited_sources(hits).select("query_id", "nth", "source", F.md5("content").alias("content_md5"))
+
+
+def answer_overlap(spark, sf_dir):
+    """The five best hits against hits three to eight."""
+    hits = _bm25(spark, sf_dir).join(_docs(spark, sf_dir), "chunk_id").select("query_id", "rank", F.coalesce("text", F.lit("")).alias("text"))
+    return r.answer_overlap(hits.filter("rank <= 5"), hits.filter("rank between 3 and 8"))
+
+
+def authority_weights(spark, sf_dir):
+    levels = F.array(*map(F.lit, ["faq", "textbook", "national_guideline", "rumour", "society_consensus", "expert_opinion"]), F.lit(None).cast("string"))
+    o = read(spark, sf_dir, "orders")
+    return o.select("o_orderkey", r.authority(F.element_at(levels, (F.col("o_orderkey") % 7 + 1).cast("int"))).alias("weight"))
+
+
 def _sections(spark, sf_dir):
     """Documents of a source as sections of one file, in order of doc_id."""
     d = read(spark, sf_dir, "documents")
@@ -104,7 +134,8 @@ def sibling_expand(spark, sf_dir):
 def timeliness_weights(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
     day = F.to_date("o_orderdate")
-    w = r.timeliness(F.when(F.col("o_orderkey") % 13 != 0, day), F.when(F.col("o_orderkey") % 7 == 0, F.date_add(day, 300)), F.lit("1998-01-01").cast("date"))
+    effective, expires = F.when(F.col("o_orderkey") % 3 != 0, day), F.when(F.col("o_orderkey") % 7 == 0, F.date_add(day, 300))
+    w = r.timeliness(effective, expires, F.lit("1998-01-01").cast("date"), F.when(F.col("o_orderkey") % 5 != 0, F.date_add(day, 100)))
     return o.select("o_orderkey", w.alias("weight"))
 
 
@@ -146,7 +177,7 @@ def fill_down(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     bm25_topk, dense_topk, dense_topk_filtered, rrf_fusion, source_diversity, hybrid_retrieval, rerank_threshold_fallback, query_overlap_filter,
-    keyword_recall, parent_lookup, sibling_expand, timeliness_weights, retrieval_confidence, markdown_sections, table_detect, child_packing,
+    keyword_recall, rerank_skips, cited_sources, answer_overlap, authority_weights, parent_lookup, sibling_expand, timeliness_weights, retrieval_confidence, markdown_sections, table_detect, child_packing,
     recursive_chunks, row_summaries, fill_down,
 )}
 
@@ -160,6 +191,7 @@ idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * mi.m ELSE raw END AS idf FROM
 s AS (SELECT query_id, chunk_id, round(sum(q_tf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / c.m))), 6) AS score
       FROM qt JOIN idf USING (term) JOIN p USING (term) JOIN l USING (chunk_id), c GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s)"""
+BM25_SQL = _BM25
 _DENSE = """e AS (SELECT vec_id AS chunk_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 u AS (SELECT chunk_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e WHERE list_dot_product(v, v) > 0),
 dense AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
@@ -187,10 +219,18 @@ SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY sco
     "query_overlap_filter": f"""WITH {_BM25}, cj AS (SELECT query_id, chunk_id, rank, text, list_filter({_TOK.format('question')}, lambda t: length(t) >= 2) AS every FROM {_JOINED} WHERE rank <= {K}),
 t AS (SELECT *, list_filter(every, lambda x: x NOT IN {FILLERS}) AS telling FROM cj)
 SELECT query_id, chunk_id FROM t WHERE rank <= 2 OR len(list_filter(CASE WHEN len(telling) > 0 THEN telling ELSE every END, lambda x: contains(lower(text), x))) > 0""",
-    "keyword_recall": f"""WITH {_BM25}, w AS (SELECT query_id, unnest(list_distinct(ks)) AS keyword FROM (SELECT query_id, list_filter({_TOK.format('question')}, lambda t: length(t) >= 4) AS a,
-  (list_filter(a, lambda t, i: list_position(a, t) = i))[1:5] AS ks FROM q)),
+    "keyword_recall": f"""WITH {_BM25}, w AS (SELECT query_id, unnest(list_distinct(list_filter({_TOK.format('question')}, lambda t: length(t) >= 4))) AS keyword FROM q),
 h AS (SELECT query_id, keyword, max(contains(lower(text), keyword)::INT) AS hit FROM w JOIN ranked USING (query_id) JOIN d USING (chunk_id) WHERE rank <= 3 GROUP BY ALL)
 SELECT query_id, avg(hit) AS recall FROM h GROUP BY query_id""",
+    "rerank_skips": r"""WITH c AS (SELECT conv_id, turn, regexp_replace(lower(trim(CASE WHEN turn % 5 = 0 THEN 'Hello!' WHEN turn % 7 = 0 THEN ' ok? ' ELSE coalesce(text, '') END)), '[，。！？,.!?\s]', '', 'g') AS q,
+  CASE WHEN turn % 3 <> 0 THEN (conv_id % 40 - 2) / 100.0::DOUBLE END AS far FROM conversations)
+SELECT conv_id, turn, conv_id % 6 = 0 OR q IN ('hello', 'hi', 'thanks') OR length(q) <= 4 OR coalesce(far >= 0 AND far < 0.08::DOUBLE, false) AS skip FROM c""",
+    "cited_sources": f"""WITH {_BM25}, h AS (SELECT query_id, coalesce(source, 'unknown') AS source, arg_min(text, rank) AS text, min(rank) AS rank FROM ranked JOIN d USING (chunk_id) WHERE rank <= {K} GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, source) AS nth, source, md5(substr(text, 1, 200)) AS content_md5 FROM h""",
+    "answer_overlap": f"""WITH {_BM25}, h AS (SELECT query_id, rank, substr(coalesce(text, ''), 1, 80) AS head FROM ranked JOIN d USING (chunk_id)),
+g AS (SELECT query_id, list(DISTINCT head) FILTER (rank <= 5) AS a, list(DISTINCT head) FILTER (rank BETWEEN 3 AND 8) AS b FROM h WHERE rank <= 8 GROUP BY query_id)
+SELECT query_id, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE AS overlap FROM g""",
+    "authority_weights": """SELECT o_orderkey, [0.55, 0.9, 1.0, 0.6, 0.95, 0.75, 0.6][o_orderkey % 7 + 1]::DOUBLE AS weight FROM orders""",
     "parent_lookup": f"""WITH {_BM25}, h AS (SELECT query_id, chunk_id // 4 AS parent_id, min(rank) AS first FROM ranked WHERE rank <= {K} GROUP BY ALL)
 SELECT query_id, parent_id, row_number() OVER (PARTITION BY query_id ORDER BY first, parent_id) AS rank FROM h""",
     "sibling_expand": f"""WITH {_BM25}, sx AS (SELECT doc_id AS parent_id, source AS doc_id, (doc_id // 20)::INT AS section, length(text) % 700 AS chars FROM documents),
@@ -201,13 +241,13 @@ x AS (SELECT query_id, parent_id, chars, 0 AS part, {{'rank': rank, 'section': s
 y AS (SELECT *, sum(chars) OVER w AS total, row_number() OVER w AS place FROM x WINDOW w AS (PARTITION BY query_id ORDER BY part, ord, parent_id ROWS UNBOUNDED PRECEDING)),
 z AS (SELECT *, min(CASE WHEN part = 1 AND total > 1500 THEN place END) OVER (PARTITION BY query_id) AS over_at FROM y)
 SELECT query_id, parent_id, place, CASE WHEN part = 0 THEN 'hit' ELSE 'sibling' END AS origin FROM z WHERE part = 0 OR over_at IS NULL OR place < over_at""",
-    "timeliness_weights": """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate::DATE END AS eff, CASE WHEN o_orderkey % 7 = 0 THEN o_orderdate::DATE + 300 END AS ex FROM orders)
-SELECT o_orderkey, CASE WHEN ex < DATE '1998-01-01' THEN 0.0 WHEN eff IS NULL THEN 0.8 WHEN DATE '1998-01-01' - eff > 1095 THEN 0.6 WHEN DATE '1998-01-01' - eff > 730 THEN 0.75
-  WHEN DATE '1998-01-01' - eff > 365 THEN 0.85 ELSE 1.0 END::DOUBLE AS weight FROM o""",
+    "timeliness_weights": """WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders), x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN d + 300 END AS ends,
+  DATE '1998-01-01' - CASE WHEN o_orderkey % 3 <> 0 THEN d WHEN o_orderkey % 5 <> 0 THEN d + 100 END AS age FROM o)
+SELECT o_orderkey, CASE WHEN ends < DATE '1998-01-01' THEN 0 WHEN age IS NULL THEN 0.8 WHEN age > 1095 THEN 0.6 WHEN age > 730 THEN 0.75 WHEN age > 365 THEN 0.85 ELSE 1 END::DOUBLE AS weight FROM x""",
     "retrieval_confidence": f"""WITH {_BM25}, cj AS (SELECT query_id, len(list_intersect({_TOK.format('question')}, {_TOK.format('text')})) / len(list_distinct({_TOK.format('question')}))::DOUBLE AS share FROM {_JOINED} WHERE rank <= 5),
 g AS (SELECT query_id, max(share) AS best, max(share) - min(share) AS gap, count(*) FILTER (share >= 0.3) AS n, round(avg(share), 6) AS mean FROM cj GROUP BY query_id)
-SELECT query_id, round(((CASE WHEN best >= 0.5 THEN 0.3 WHEN best >= 0.2 THEN 0.2 WHEN best >= 0.05 THEN 0.1 ELSE 0 END)::DOUBLE + (CASE WHEN gap >= 0.2 THEN 0.2 WHEN gap >= 0.05 THEN 0.1 ELSE 0 END)::DOUBLE
-  + (CASE WHEN n >= 3 THEN 0.3 WHEN n = 2 THEN 0.2 WHEN n = 1 THEN 0.1 ELSE 0 END)::DOUBLE + 0.2::DOUBLE * mean) * 0.85::DOUBLE * 0.9::DOUBLE, 4) AS confidence FROM g""",
+SELECT query_id, round((CASE WHEN best >= 0.1 THEN 3 WHEN best >= 0.03 THEN 2 WHEN best >= 0.01 THEN 1 ELSE 0 END + CASE WHEN gap >= 0.05 THEN 2 WHEN gap >= 0.02 THEN 1 ELSE 0 END
+  + least(n, 3) + CASE WHEN mean >= 0.8 THEN 2 WHEN mean >= 0.5 THEN 1 ELSE 0 END)::DOUBLE / 10 * 0.85::DOUBLE * 0.9::DOUBLE, 4) AS confidence FROM g""",
     "markdown_sections": """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS line FROM documents),
 s AS (SELECT *, line LIKE 'The %' AS h, sum((line LIKE 'The %')::INT) OVER (PARTITION BY doc_id ORDER BY n) AS section FROM l)
 SELECT doc_id, section, md5(string_agg(line, chr(10) ORDER BY n)) AS text_md5, max(CASE WHEN h THEN line END) AS title FROM s GROUP BY doc_id, section""",

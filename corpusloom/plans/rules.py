@@ -85,8 +85,7 @@ def interaction_pairs(spark, sf_dir):
 
 
 def combination_risks(spark, sf_dir):
-    rules = spark.createDataFrame([("r1", "i1"), ("r1", "i2"), ("r2", "i3"), ("r2", "i4"), ("r2", "i5"), ("r3", "i0")], "rule string, item string")
-    return r.combinations(_baskets(spark, sf_dir), rules)
+    return r.combinations(_baskets(spark, sf_dir), {"r1": ["i1", "i2"], "r2": ["i3", "i4", "i5"], "r3": ["i0"], "r4": ["item i7", "i19"]})
 
 
 def triage(spark, sf_dir):
@@ -152,9 +151,10 @@ SELECT item_id, regexp_replace(regexp_replace(text, '[ \t\n\r]+', '', 'g'), '^[,
     "dosage_safety": "SELECT p_partkey AS id, p_size > 100 OR p_partkey % 9 = 0 OR p_size * (p_partkey % 4) > 100 AS exceeds FROM part",
     "interaction_pairs": f"""WITH i AS ({_ITEMS}), r(a, b, risk) AS (VALUES ('i1', 'i2', 'high'), ('i3', 'i5', 'low'), ('i19', 'i7', 'mid'))
 SELECT x.id, r.a, r.b, r.risk FROM i x JOIN i y ON x.id = y.id JOIN r ON x.item = r.a AND y.item = r.b""",
-    "combination_risks": f"""WITH i AS ({_ITEMS}), r(rule, item) AS (VALUES ('r1', 'i1'), ('r1', 'i2'), ('r2', 'i3'), ('r2', 'i4'), ('r2', 'i5'), ('r3', 'i0'))
-SELECT id, rule FROM i JOIN r USING (item) GROUP BY id, rule HAVING count(*) = (SELECT count(*) FROM r q WHERE q.rule = r.rule)""",
-    "triage": f"""SELECT event_id, CASE WHEN event_type = 'error' THEN 'emergency' WHEN {_K} % 11 = 0 THEN 'emergency' WHEN {_K} % 7 = 0 THEN 'urgent' WHEN value > 72 THEN 'visit' WHEN event_type = 'click' THEN 'visit' ELSE 'home' END AS level FROM events""",
+    "combination_risks": f"""WITH i AS ({_ITEMS}), r(rule, word) AS (VALUES ('r1', 'i1'), ('r1', 'i2'), ('r2', 'i3'), ('r2', 'i4'), ('r2', 'i5'), ('r3', 'i0'), ('r4', 'item i7'), ('r4', 'i19'))
+SELECT id, rule FROM i JOIN r ON contains(item, word) OR contains(word, item) GROUP BY id, rule
+HAVING count(DISTINCT word) = (SELECT count(DISTINCT word) FROM r q WHERE q.rule = r.rule)""",
+    "triage": f"""SELECT event_id, CASE WHEN event_type = 'error' OR {_K} % 11 = 0 THEN 'red' WHEN {_K} % 7 = 0 OR value > 72 OR event_type = 'click' THEN 'yellow' ELSE 'green' END AS level FROM events""",
     "department_advice": f"""WITH i AS ({_ITEMS}), d(item, department) AS (VALUES ('i1', 'north'), ('i2', 'south'), ('i3', 'north'), ('i4', 'east'))
 SELECT id, coalesce(string_agg(DISTINCT department, ',' ORDER BY department), 'general') AS departments FROM i LEFT JOIN d USING (item) GROUP BY id""",
     "outer_merge": """WITH s AS (SELECT p_partkey AS id, p_brand AS name, p_size AS value, 'cm' AS unit FROM part WHERE p_partkey % 3 <> 0),
