@@ -75,3 +75,47 @@ def route_from_context(turns: DataFrame, symptom: Column, knowledge: Column, fol
     some = lambda c: F.coalesce(F.col(c), F.lit(False))
     route = F.when(some("f") & some("s"), "symptom").when(some("s") & ~some("k"), "symptom").when(some("k") & ~some("s"), "knowledge")
     return out.select("conv_id", route.alias("route"))
+
+
+def persist_large(turns: DataFrame, most_bytes: int = 30 * 1024, preview: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(turns with a placeholder for large texts, the large texts): outputs are (output_id, conv_id, turn, size_bytes, text).
+
+    An output's id is a digest of its place and text, so a rerun names it alike.
+    """
+    size = F.octet_length("text")
+    marked = turns.withColumn("output_id", F.when(size > most_bytes, F.concat(F.lit("persist_"), F.substring(F.md5(F.concat_ws("|", "conv_id", "turn", "text")), 1, 16))))
+    outputs = marked.filter("output_id is not null").select("output_id", "conv_id", "turn", size.alias("size_bytes"), "text")
+    head = F.when(F.length("text") > preview, F.concat(F.substring("text", 1, preview), F.lit("..."))).otherwise(F.col("text"))
+    held = F.concat(F.lit('<persisted-output id="'), "output_id", F.lit('" preview="'), head, F.lit('">'))
+    short = marked.withColumn("text", F.when(F.col("output_id").isNotNull(), held).otherwise(F.col("text")))
+    return short.select(*turns.columns), outputs
+
+
+def restored(turns: DataFrame, outputs: DataFrame) -> DataFrame:
+    """``turns`` with the texts that placeholders stand for."""
+    whole = outputs.select(F.col("output_id").alias("of"), F.col("text").alias("whole"))
+    name = F.regexp_extract("text", r'^<persisted-output id="([^"]+)"', 1)
+    out = turns.withColumn("name", name).join(whole, F.col("name") == F.col("of"), "left")
+    return out.withColumn("text", F.coalesce("whole", "text")).select(*turns.columns)
+
+
+def rule_summary(turns: DataFrame, constraint: str, reference: str, finding: str, most: int = 5, each: int = 3) -> DataFrame:
+    """(conv_id, goal, findings, references, constraints) by patterns, without a model.
+
+    goal: the first 100 characters of the first user turn; findings: up to ``each`` of an
+    assistant turn and ``most`` in all, in order; references: distinct, in order of the text;
+    constraints: 80 characters of each user turn that has one. finding and reference have one group.
+    """
+    user = F.col("role") == "user"
+    found = F.when(F.col("role") == "assistant", F.slice(F.regexp_extract_all("text", F.lit(finding), F.lit(1)), 1, each))
+    named = F.when(F.col("role") == "assistant", F.regexp_extract_all("text", F.lit(reference), F.lit(1)))
+    rows = turns.select(
+        "conv_id", "turn", F.when(user, F.substring("text", 1, 100)).alias("goal"), found.alias("found"), named.alias("named"),
+        F.when(user & F.col("text").rlike(constraint), F.substring("text", 1, 80)).alias("limit"),
+    )
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("turn", c)))), lambda x: x[c])
+    per = rows.groupBy("conv_id").agg(
+        F.min_by("goal", F.when(F.col("goal").isNotNull(), F.col("turn"))).alias("goal"), F.slice(F.flatten(in_order("found")), 1, most).alias("findings"),
+        F.slice(F.array_sort(F.array_distinct(F.flatten(in_order("named")))), 1, most).alias("references"), in_order("limit").alias("constraints"),
+    )
+    return per

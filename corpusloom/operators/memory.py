@@ -5,6 +5,8 @@ Everything a long-term store does one user at a time is one pass over all users
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -138,3 +140,73 @@ def failure_islands(log: DataFrame, least: int) -> DataFrame:
     run = F.row_number().over(by) - F.row_number().over(W.partitionBy("service", "failed").orderBy("id"))
     runs = log.withColumn("run", run).filter("failed").groupBy("service", "run").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
     return runs.filter(F.col("n") >= least).drop("run")
+
+
+def recorded_cases(cases: DataFrame, now: Column, summary: int = 500, preview: int = 200) -> DataFrame:
+    """Cases as they are stored: texts cut to a preview, an id by content, not reviewed yet.
+
+    cases: (user_id, case_type, query, rewritten, summary, answer).
+    """
+    case_id = F.concat(F.lit("bc_"), F.substring(F.md5(F.concat_ws("|", "user_id", "case_type", "query", "rewritten", "answer")), 1, 12))
+    return cases.select(
+        case_id.alias("case_id"), "user_id", "case_type", "query", "rewritten", F.substring(F.coalesce("summary", F.lit("")), 1, summary).alias("summary"),
+        F.substring(F.coalesce("answer", F.lit("")), 1, preview).alias("answer"), now.alias("created_at"), F.lit(False).alias("reviewed"),
+        F.lit("").alias("expected"), F.lit(None).cast("boolean").alias("self_contained"),
+    )
+
+
+def open_cases(cases: DataFrame, most: int = 50, case_type: str | None = None, reviewed: bool | None = None) -> DataFrame:
+    """The newest ``most`` cases of each user, if asked of one type or state, as (..., nth)."""
+    if case_type is not None:
+        cases = cases.filter(F.col("case_type") == case_type)
+    if reviewed is not None:
+        cases = cases.filter(F.col("reviewed") == reviewed)
+    return newest(cases, ["user_id"], [F.col("created_at").desc(), F.col("case_id")], most)
+
+
+def reviewed_cases(cases: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Cases with their reviews (case_id, expected, self_contained, reviewed); empty or null fields change nothing."""
+    r = reviews.select(F.col("case_id").alias("of"), F.col("expected").alias("e"), F.col("self_contained").alias("s"), F.col("reviewed").alias("r"))
+    out = cases.join(r, F.col("case_id") == F.col("of"), "left")
+    expected = F.when(F.coalesce("e", F.lit("")) != "", F.col("e")).otherwise(F.col("expected"))
+    return out.withColumns({"expected": expected, "self_contained": F.coalesce("s", "self_contained"), "reviewed": F.coalesce("r", "reviewed")}).select(*cases.columns)
+
+
+def pruned_cache(entries: DataFrame, now: Column, days: int = 7, most: int = 500, factor: int = 2) -> DataFrame:
+    """What stays of a shared cache: all of up to ``factor`` times ``most`` entries, else the newest ``most`` of the last ``days``.
+
+    entries: (key, cached_at, ...). An entry without a time counts as the oldest.
+    """
+    n = entries.agg(F.count("*").alias("n"))
+    fresh = F.col("cached_at").isNull() | (F.col("cached_at") >= now - F.make_dt_interval(days=F.lit(days)))
+    # the newest ``most`` are found by a distributed top-k
+    first = entries.filter(fresh).orderBy(F.col("cached_at").desc_nulls_last(), "key").limit(most).select(F.col("key").alias("kept"))
+    out = entries.crossJoin(F.broadcast(n)).join(first, F.col("key") == F.col("kept"), "left")  # n is one row
+    return out.filter((F.col("n") <= factor * most) | F.col("kept").isNotNull()).select(*entries.columns)
+
+
+def oversize(items: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """(namespace, user_id, n) of those with more items than the namespace allows; others are never pruned."""
+    most = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))])
+    return items.groupBy("namespace", "user_id").agg(F.count("*").alias("n")).filter(F.col("n") > F.try_element_at(most, F.col("namespace")))
+
+
+def pending_events(events: DataFrame, now: Column, days: int) -> DataFrame:
+    """(n_pending, n_expired): events of an outbox still to be sent, and those too old, which are deleted unsent."""
+    old = F.col("created_at") < now - F.make_dt_interval(days=F.lit(days))
+    return events.agg(F.count_if(~old).alias("n_pending"), F.count_if(old).alias("n_expired"))
+
+
+def threshold_stats(values: DataFrame, defaults: dict[str, float], shares: Sequence[float] = (0.05, 0.1, 0.5, 0.9), least: int = 100) -> DataFrame:
+    """(name, samples, calibrated, low, high, mean, p5, ...) of each registered name: 0-based int(n * share) of the sorted values.
+
+    values: (name, value). Equal values are counted before they are sorted; unregistered names are left out.
+    """
+    counted = values.filter(F.col("name").isin(list(defaults)) & F.col("value").isNotNull()).groupBy("name", "value").agg(F.count("*").alias("c"))
+    by = W.partitionBy("name")
+    ranked = counted.withColumns({"upto": F.sum("c").over(by.orderBy("value").rowsBetween(W.unboundedPreceding, 0)), "n": F.sum("c").over(by)})
+    at = lambda s: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * s), F.col("n") - 1), F.col("value"))).alias(f"p{round(s * 100)}")
+    return ranked.groupBy("name").agg(
+        F.max("n").alias("samples"), (F.max("n") >= least).alias("calibrated"), F.min("value").alias("low"), F.max("value").alias("high"),
+        F.round(F.sum(F.col("value") * F.col("c")) / F.max("n"), 6).alias("mean"), *[at(s) for s in shares],
+    )

@@ -132,3 +132,35 @@ def vote(claims: DataFrame) -> DataFrame:
     nth = F.row_number().over(W.partitionBy("doc_id", "field").orderBy(F.col("votes").desc(), "best", "value"))
     claimed = F.count("*").over(W.partitionBy("doc_id", "field"))
     return n.withColumns({"nth": nth, "n_values": claimed}).filter("nth = 1").drop("nth", "best")
+
+
+def restore(chunks: DataFrame, sources: DataFrame, now: Column) -> DataFrame:
+    """Deleted chunks of the sources are live again."""
+    hit = sources.select("source", F.lit(True).alias("hit")).distinct()
+    back = F.coalesce("hit", F.lit(False)) & F.col("is_deleted")
+    out = chunks.join(hit, "source", "left").withColumn("back", back)
+    out = out.withColumns({"is_deleted": F.col("is_deleted") & ~F.col("back"), "updated_at": F.when(F.col("back"), now).otherwise(F.col("updated_at"))})
+    return out.select(*chunks.columns)
+
+
+def purge(chunks: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """What stays once chunks deleted more than ``days`` ago are gone; a deletion without a time stays."""
+    gone = F.col("is_deleted") & (F.col("deleted_at") < now - F.make_dt_interval(days=F.lit(days)))
+    return chunks.filter(~F.coalesce(gone, F.lit(False)))
+
+
+def activate_pending(chunks: DataFrame, now: Column) -> DataFrame:
+    """Pending chunks become active; adds activated_at."""
+    pending = F.col("status") == "pending"
+    return chunks.withColumns({"activated_at": F.when(pending, now), "status": F.when(pending, "active").otherwise(F.col("status"))})
+
+
+def embedded_alike(model: Column, dimension: Column, current_model: str, current_dimension: int) -> Column:
+    """Whether a chunk's vector is of the current model and size; chunks that don't say so pass."""
+    unknown = (F.coalesce(model, F.lit("")) == "") | (F.coalesce(dimension, F.lit(0)) == 0)
+    return unknown | (model == current_model) & (dimension == current_dimension)
+
+
+def newest_entries(log: DataFrame, key: str = "id", most: int = 50) -> DataFrame:
+    """The last ``most`` entries of an audit log, newest first."""
+    return log.orderBy(F.col(key).desc()).limit(most)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import files, memory, metadata, retrieval, review, rules, telemetry, versioning
+from corpusloom.plans import files, memory, metadata, retrieval, review, rules, telemetry, upkeep, versioning
 
-_AREAS = (telemetry, versioning, retrieval, memory, rules, review, metadata, files)
+_AREAS = (telemetry, versioning, retrieval, memory, rules, review, metadata, upkeep, files)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for area in _AREAS for k, f in area.QUERIES.items()}
 ORACLES: dict[str, str] = {k: sql for area in _AREAS for k, sql in area.ORACLES.items()}
