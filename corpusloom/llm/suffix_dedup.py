@@ -45,7 +45,7 @@ MIN_WORDS = 50
 KGRAM = 16
 REACH = MIN_WORDS - KGRAM
 #: Suffixes that a task compares at a time, at about 600 bytes each.
-SLICE = 100_000
+SLICE = 50_000
 _P = 0xD6E8FEB86659FD93
 _powers = _inverses = np.ones(1, np.uint64)
 
