@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.trim import frugal
+
 CACHED_WORDS = 1 << 19
 #: The byte-level pre-tokenizer's pattern over the letters of ASCII bytes (\u0120 is the space's).
 _WHITE = "\u0109\u010a\u010b\u010c\u010d\u0120"
@@ -56,6 +58,8 @@ class ForcedBoundaryBPE:
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         self.merges = {tuple(m.split(" ") if isinstance(m, str) else m): k for k, m in enumerate(spec["model"]["merges"])}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        longest_first = sorted(map(re.escape, self.added), key=len, reverse=True)
+        self.added_pattern = re.compile("|".join(longest_first)) if longest_first else None
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("added tokens that take neighbouring characters are not supported")
         #: pairs of neighbours inside some token; a text is cut between any other
@@ -169,16 +173,14 @@ class ForcedBoundaryBPE:
         return out
 
     def encode(self, text: str) -> list[int]:
-        if not any(t in text for t in self.added):
-            return self._plain(text)
         out: list[int] = []
-        while text:
-            at, token = min(((k, -len(t), t) for t in self.added if (k := text.find(t)) >= 0), default=(len(text), 0, ""))[::2]
-            out += self._plain(text[:at])
-            if token:
-                out.append(self.added[token])
-            text = text[at + len(token) :]
-        return out
+        begin = 0
+        # the first added token from each place on, the longest of those that begin there
+        for found in self.added_pattern.finditer(text) if self.added_pattern else ():
+            out += self._plain(text[begin : found.start()])
+            out.append(self.added[found[0]])
+            begin = found.end()
+        return out + self._plain(text[begin:]) if begin else self._plain(text)
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -224,18 +226,18 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids) of every row's text."""
-    out = _rows(docs).mapInPandas(_ids(path), "doc_id string, ids array<int>")
+    out = _rows(docs).mapInPandas(frugal(_ids(path)), "doc_id string, ids array<int>")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def decode_documents(ids: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) of every row's ids."""
     rows = ids.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    out = rows.mapInPandas(_texts(path), "doc_id string, text string")
+    out = rows.mapInPandas(frugal(_texts(path)), "doc_id string, text string")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: encoded, then decoded from its ids."""
-    out = _rows(docs).mapInPandas(_coded(path), "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = _rows(docs).mapInPandas(frugal(_coded(path)), "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.llm.trim import frugal
+
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 #: The most labelled documents that weights are learned from.
@@ -169,7 +171,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((BUCKETS + 1, 0)), np.zeros(0), 1.0)
-    texts = usable.select("text").mapInPandas(_document_frequencies, "bucket int, df long")
+    texts = usable.select("text").mapInPandas(frugal(_document_frequencies), "bucket int, df long")
     df = np.zeros(BUCKETS)
     for r in texts.groupBy("bucket").agg(F.sum("df").alias("df")).collect():
         df[r["bucket"]] = r["df"]
@@ -181,7 +183,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     some = usable.select("lang", "text", draw.alias("draw")).filter(F.col("draw") <= share)
     nth = F.row_number().over(W.partitionBy("lang").orderBy("draw", F.xxhash64("text")))
     some = some.withColumn("turn", nth).filter(F.col("turn") <= each).select("lang", "turn", "text")
-    found = some.mapInPandas(_features, "lang string, turn int, buckets array<int>, shares array<float>").collect()
+    found = some.mapInPandas(frugal(_features), "lang string, turn int, buckets array<int>, shares array<float>").collect()
     found.sort(key=lambda r: (r["turn"], r["lang"]))
     rows = []
     for r in found:
@@ -215,7 +217,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row."""
     model = model or train(docs)
     rows = docs.select(F.col("doc_id").cast("string").alias("id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    out = rows.mapInPandas(_predictor(model, ["id", "held_out"]), "id string, held_out boolean, lang_pred string, score double")
+    out = rows.mapInPandas(frugal(_predictor(model, ["id", "held_out"])), "id string, held_out boolean, lang_pred string, score double")
     return out.select(F.col("id").cast("long").alias("doc_id"), "held_out", "lang_pred", "score")
 
 

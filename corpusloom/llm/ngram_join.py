@@ -47,10 +47,11 @@ from pyspark.sql import functions as F
 from corpusloom.llm import keyfilter, shingles
 from corpusloom.llm.components import components
 from corpusloom.llm.scratch import Scratch, free_names
+from corpusloom.llm.trim import frugal
 
 PERCENT = 75
 #: Shingles that a task holds of a block, at about 60 bytes each.
-PIECE = 1_000_000
+PIECE = 500_000
 #: The share of T by which long lists are put aside falls with the logarithm of the longest list.
 _SKIP = 0.0085
 #: The most frequent shingles that the order puts last; the list is sent to all tasks.
@@ -344,22 +345,22 @@ class _Join:
         )
 
     def divided(self) -> DataFrame:
-        often = self.texts.select("text").mapInPandas(_often, "shingle long, n long")
+        often = self.texts.select("text").mapInPandas(frugal(_often), "shingle long, n long")
         often = often.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "shingle").limit(FREQUENT).collect()
         table = np.array([(r["shingle"], r["n"]) for r in often], np.int64).reshape(-1, 2)
         names = table[:, 0].copy().view(np.uint64)
         order = np.argsort(names)
         run = _divider(names[order], table[order, 1], self.percent)
-        return self.scratch.table(self.texts.mapInPandas(run, "id string, key long, n long, cls long, rare long, short array<long>"))
+        return self.scratch.table(self.texts.mapInPandas(frugal(run), "id string, key long, n long, cls long, rare long, short array<long>"))
 
     def candidates(self, rows: DataFrame) -> DataFrame:
         """(x, y): pairs that connect all classes whose listed shingles allow a link."""
         postings = rows.filter("short is not null").select(F.explode("short").alias("shingle"), (F.shiftleft("n", 32) + F.col("rare")).alias("n_rare"), "cls")
         postings = postings.repartition("shingle").sortWithinPartitions("shingle", "n_rare", "cls")
-        parts = postings.mapInPandas(_parts(self.percent), "shingle long, n long, cls long, rare long, part long")
+        parts = postings.mapInPandas(frugal(_parts(self.percent)), "shingle long, n long, cls long, rare long, part long")
         parts = self.scratch.table(parts)
         ordered = parts.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "rare", "cls")
-        visits = ordered.select("shingle", "part", "cls").mapInPandas(_visits, "pivot long, cls long").distinct()
+        visits = ordered.select("shingle", "part", "cls").mapInPandas(frugal(_visits), "pivot long, cls long").distinct()
         listed = parts.groupBy(F.col("cls").alias("of")).agg(F.first("n").alias("n"), F.collect_list("shingle").alias("members"))
         return self.search(visits, listed, _listed)
 
@@ -382,13 +383,13 @@ class _Join:
         work = work.join(sets.select("of", "members"), F.col("cls") == F.col("of")).drop("of")
         # the pieces come first, so that the keys are not those of a join before whose skewed groups Spark may split
         work = work.repartition("low", "high", "pivot").sortWithinPartitions(*unit)
-        return self.scratch.table(work.mapInPandas(_searcher(self.percent, threshold), "x long, y long"))
+        return self.scratch.table(work.mapInPandas(frugal(_searcher(self.percent, threshold)), "x long, y long"))
 
     def sets(self, classes: DataFrame) -> DataFrame:
         """(cls, members) of the ``cls`` of all rows, from the texts."""
         classes = classes.select("cls").distinct()
         names = keyfilter.build(classes.withColumnRenamed("cls", "key"))
-        found = self.texts.select("text").mapInPandas(_collector(names), "cls long, members array<long>")
+        found = self.texts.select("text").mapInPandas(frugal(_collector(names)), "cls long, members array<long>")
         return found.dropDuplicates(["cls"])
 
     def labels(self, links: DataFrame) -> DataFrame:

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import keyfilter, shingles
 from corpusloom.llm.scratch import Scratch
+from corpusloom.llm.trim import frugal
 
 MIN_WORDS = 50
 KGRAM = 16
@@ -336,17 +337,17 @@ def repeated_passages(docs: DataFrame, scratch: Scratch | None = None) -> DataFr
     scratch = scratch or Scratch(docs.sparkSession, "suffixes")
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    survey = scratch.table(texts.mapInPandas(_survey, "id long, key long, cls long, n long, grams array<long>"))
+    survey = scratch.table(texts.mapInPandas(frugal(_survey), "id long, key long, cls long, n long, grams array<long>"))
     grams = survey.filter("grams is not null").select(F.explode("grams").alias("key"))
     counted = scratch.table(grams.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
     repeated = keyfilter.build(counted)
-    suffixes = scratch.table(texts.select("id", "text").mapInPandas(_suffixes(repeated), _SUFFIX))
+    suffixes = scratch.table(texts.select("id", "text").mapInPandas(frugal(_suffixes(repeated)), _SUFFIX))
     scratch.drop(counted)
     # the bounds of ranges go to the driver, so they hold no more than 8 words; a beginning is whole but for the edges
     around = [F.substring("right", 1, 32), F.xxhash64("right", "left")]
     ranges = suffixes.repartitionByRange("gram", *around, "cls", "place")
     ordered = ranges.sortWithinPartitions("gram", "right", "left", "cls", "place")
-    matches = scratch.table(ordered.mapInPandas(_matches(SLICE), _MATCH))
+    matches = scratch.table(ordered.mapInPandas(frugal(_matches(SLICE)), _MATCH))
     scratch.drop(suffixes)
     # stretches of beginnings that slices share: one row a slice, so a key has no more rows than there are slices
     open_ = matches.filter("digest is not null").withColumn("at", F.struct("late", "doc", F.col("low").alias("start"), "cls"))
