@@ -173,14 +173,16 @@ class ForcedBoundaryBPE:
         return out
 
     def encode(self, text: str) -> list[int]:
+        if not any(t in text for t in self.added):  # a plain search is faster than the pattern
+            return self._plain(text)
         out: list[int] = []
         begin = 0
         # the first added token from each place on, the longest of those that begin there
-        for found in self.added_pattern.finditer(text) if self.added_pattern else ():
+        for found in self.added_pattern.finditer(text):
             out += self._plain(text[begin : found.start()])
             out.append(self.added[found[0]])
             begin = found.end()
-        return out + self._plain(text[begin:]) if begin else self._plain(text)
+        return out + self._plain(text[begin:])
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
