@@ -140,10 +140,129 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 FROM scored QUALIFY rank <= 20
 """
 
+LINKS = r"""
+WITH RECURSIVE split AS (
+    SELECT page_id, html,
+           translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+    FROM pages
+), ruled AS (
+    SELECT *, CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
+                   WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+                   WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
+                   WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
+                   WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule
+    FROM split
+), judged AS (
+    SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS verdict FROM ruled
+), found AS (
+    SELECT host AS src, unnest(regexp_extract_all(html,
+        '(?i)<a[\x20\x09-\x0D](?:[^>]*?[\x20\x09-\x0D])?href[\x20\x09-\x0D]*=[\x20\x09-\x0D]*["'']?([^"''\x20\x09-\x0D>]+)', 1)) AS link
+    FROM split WHERE host <> ''
+), aimed AS (
+    SELECT src, CASE WHEN regexp_matches(link, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//')
+                         THEN translate(regexp_extract(link, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+                     WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN '' ELSE src END AS dst
+    FROM found
+), edges AS (
+    SELECT src, dst, count(*) AS n FROM aimed WHERE dst <> '' GROUP BY src, dst
+), ways AS (
+    SELECT 'trust' AS kind, src AS a, dst AS b, n::DOUBLE / (sum(n) OVER (PARTITION BY src))::DOUBLE AS part FROM edges
+    UNION ALL
+    SELECT 'distrust', dst, src, n::DOUBLE / (sum(n) OVER (PARTITION BY dst))::DOUBLE FROM edges
+), hosts AS (
+    SELECT host, count(*) AS pages, count(*) FILTER (verdict = 'allow') AS allowed, count(*) FILTER (verdict = 'block') AS blocked
+    FROM judged WHERE host <> '' GROUP BY host
+), ranks AS (
+    SELECT 0 AS round, 'trust' AS kind, host, (1073741824 * allowed // pages)::BIGINT AS seed, (1073741824 * allowed // pages)::BIGINT AS mass
+    FROM hosts WHERE allowed > 0
+    UNION ALL
+    SELECT 0, 'distrust', host, (1073741824 * blocked // pages)::BIGINT, (1073741824 * blocked // pages)::BIGINT FROM hosts WHERE blocked > 0
+), rounds AS (
+    SELECT * FROM ranks
+    UNION ALL
+    SELECT round + 1, kind, host, sum(seed)::BIGINT, sum(mass)::BIGINT
+    FROM (SELECT round, kind, host, seed, floor((1 - 0.85::DOUBLE) * seed::DOUBLE)::BIGINT AS mass FROM rounds WHERE round < 20
+          UNION ALL
+          SELECT r.round, w.kind, w.b, 0, floor(0.85::DOUBLE * r.mass::DOUBLE * w.part)::BIGINT
+          FROM rounds r JOIN ways w ON w.kind = r.kind AND w.a = r.host WHERE r.round < 20)
+    GROUP BY round, kind, host
+), final AS (
+    SELECT host, coalesce(sum(mass) FILTER (kind = 'trust'), 0)::BIGINT AS trust, coalesce(sum(mass) FILTER (kind = 'distrust'), 0)::BIGINT AS distrust
+    FROM rounds WHERE round = 20 GROUP BY host
+)
+SELECT page_id, j.host, path, rule,
+       coalesce(verdict, CASE WHEN distrust::DOUBLE > 0.5::DOUBLE * (trust::DOUBLE + distrust::DOUBLE) THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust
+FROM judged j LEFT JOIN final USING (host)
+"""
+
+
+def _annulus(k: int = 40, rounds: int = 5) -> str:
+    """Rounds of exact assignment and integer means; products are exact in doubles for vectors near the unit sphere."""
+    near = """
+near{r} AS MATERIALIZED (
+    SELECT uid, c, d FROM (
+        SELECT k.uid, m.c, k.s - 2 * list_inner_product(k.f, m.v::DOUBLE[])::BIGINT + list_inner_product(m.v::DOUBLE[], m.v::DOUBLE[])::BIGINT AS d
+        FROM kept k CROSS JOIN means{r} m)
+    QUALIFY row_number() OVER (PARTITION BY uid ORDER BY d, c) = 1
+), """
+    mean = """
+means{n} AS MATERIALIZED (
+    SELECT m.c, coalesce(g.v, m.v) AS v FROM means{r} m LEFT JOIN (
+        SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j)::BIGINT[] AS v
+        FROM (SELECT c, j, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n
+              FROM (SELECT a.c, unnest(k.v) AS x, unnest(range(64)) AS j FROM near{r} a JOIN kept k USING (uid)) GROUP BY c, j)
+        GROUP BY c) g USING (c)
+), """
+    steps = "".join(near.format(r=r) + mean.format(r=r, n=r + 1) for r in range(rounds)) + near.format(r=rounds)
+    return f"""
+WITH whole AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), kept AS MATERIALIZED (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS uid, v, v::DOUBLE[] AS f, list_inner_product(v::DOUBLE[], v::DOUBLE[])::BIGINT AS s FROM whole
+), means0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR) NULLS LAST) - 1 AS c, v FROM kept QUALIFY c < {k}
+), {steps.strip()}
+told AS (
+    SELECT c, sha256(array_to_string(v, ',')) AS centroid_sha256 FROM means{rounds}
+)
+SELECT k.vec_id, n.c::INTEGER AS cluster, n.d AS distance, (sum(n.d) OVER (PARTITION BY n.c))::BIGINT AS cluster_inertia,
+       (sum(n.d) OVER ())::BIGINT AS inertia, t.centroid_sha256
+FROM near{rounds} n JOIN kept k USING (uid) JOIN told t ON t.c = n.c
+"""
+
+
+HARD_NEGATIVES = r"""
+WITH sound AS MATERIALIZED (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS MATERIALIZED (
+    SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+    FROM sound a JOIN sound c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same
+WHERE 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op1_line_dedup": LINE_DEDUP,
     "op4_suffix_dedup": SUFFIX_DEDUP,
     "op5_ngram_join": NGRAM_JOIN,
     "op9_topk": TOPK,
     "op10_mixing": MIXING,
+    "op11_links": LINKS,
+    "op12_annulus": _annulus(),
+    "op13_hard_negatives": HARD_NEGATIVES,
 }

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, fingerprint, language, line_dedup, mixing, ngram_join, quality, suffix_dedup, token_output, topk
+from corpusloom.llm import (
+    annulus, bpe, fingerprint, hard_negatives, language, line_dedup, link_graph, mixing, ngram_join, quality, suffix_dedup, token_output, topk,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -71,6 +73,30 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: Verdict, host and path of the rules that op11 judges by.
+RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op11_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_graph.judge(_read(spark, sf_dir, "pages"), RULES)
+
+
+def op12_annulus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annulus.cluster(_read(spark, sf_dir, "embeddings"), k=40, rounds=5, scale=256, dim=64, salt="2:")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _read(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_output": op2_token_output,
@@ -82,4 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_topk": op9_topk,
     "op10_mixing": op10_mixing,
+    "op11_links": op11_links,
+    "op12_annulus": op12_annulus,
+    "op13_hard_negatives": op13_hard_negatives,
 }
