@@ -5,9 +5,15 @@ distance of query and candidate is at least the largest difference of their dist
 pivot, and with it |q|^2 + |x|^2 - d^2 = 2 q.x bounds the score from above. Candidates lie in
 blocks of vectors with the same nearest pivot and like distances to it; a block keeps the least
 and largest distance to every pivot, so one table of queries and blocks holds the maximum lower
-bounds. Blocks are taken in the order of their bounds. A query leaves a block out if its bound
-lies below the query's k-th score so far; what ties with it is still evaluated, as one matrix
-product for all queries that are left. A query starts with the k-th score among SAMPLE vectors.
+bounds. GROUP adjacent queries, which lie near each other, take the blocks in the order of their
+own bounds, and stop at the first that none of them can use.
+
+Of an opened block each candidate is bounded on its own by its distances to the TRIED pivots
+that tell the group and the block apart best. A query and a candidate whose bound lies below the
+query's k-th score so far don't meet; the queries and candidates that are left are evaluated as
+one matrix product, and what ties with the k-th score is kept. A query starts with the k-th
+score among SAMPLE vectors. A task computes the distances of a block's vectors when it opens
+the block, which costs one part in CHUNK / PIVOTS of the products and saves moving them.
 
 A task searches CHUNK queries in one stripe of STRIPE blocks; both are fixed numbers of rows,
 so its memory does not depend on the table. Only the k best of each query and stripe leave it.
@@ -16,9 +22,11 @@ The driver holds at most SAMPLE vectors of each of the LENGTHS commonest vector
 which pivots far apart are chosen; vectors of other lengths are compared without bounds.
 
 Components are turned into floor(scale * x). Defined cases: a vector that is null or holds a
-null or non-finite component takes no part, nor does one without an id; vectors of different
-length are not compared; rows with equal ids are different candidates; scores that tie go to
-the smaller id; empty tables give no rows; columns other than vec_id and embedding are not read.
+null or non-finite component takes no part, nor does one without an id; components beyond 2^62
+count as 2^62 and scores beyond 64 bits as the nearest long, in results, ranks and ties alike;
+vectors of different length are not compared; rows with equal ids are different candidates;
+scores that tie go to the smaller id; empty tables give no rows; columns other than vec_id and
+embedding are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +39,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.llm.scratch import Scratch
+from corpusloom.llm.vectors import LONG, integer_vectors, products, stacked
 
 PIVOTS = 64
 SAMPLE = 1024
@@ -38,8 +47,11 @@ LENGTHS = 16
 BLOCK = 512
 STRIPE = 16
 CHUNK = 4096
+GROUP = 256
+TRIED = 8
 
 Sample = tuple[np.ndarray, np.ndarray]  # uids and vectors
+Far = tuple[np.ndarray, np.ndarray]  # least and largest distances to the pivots
 
 
 def far_apart(vectors: np.ndarray, count: int = PIVOTS) -> np.ndarray:
@@ -55,19 +67,14 @@ def far_apart(vectors: np.ndarray, count: int = PIVOTS) -> np.ndarray:
     return vectors[chosen]
 
 
-def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """(rows of x, pivots): Euclidean distances."""
+def distances(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of x, pivots): what the Euclidean distances are at least and at most, as floats round."""
     x, p = x.astype(np.float64), pivots.astype(np.float64)
-    square = (x**2).sum(axis=1)[:, None] + (p**2).sum(axis=1)[None] - 2 * (x @ p.T)
-    return np.sqrt(np.maximum(square, 0))
-
-
-def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact inner products of the rows of q with those of x."""
-    most = int(max(np.abs(q).max(initial=0), 1)) * int(max(np.abs(x).max(initial=0), 1)) * max(q.shape[1], 1)
-    if most < 1 << 53:
-        return q.astype(np.float64) @ x.astype(np.float64).T
-    return q @ x.T if most < 1 << 63 else q.astype(object) @ x.astype(object).T
+    both = (x**2).sum(axis=1)[:, None] + (p**2).sum(axis=1)[None]
+    far = np.sqrt(np.maximum(both - 2 * (x @ p.T), 0))
+    error = 1e-14 * x.shape[1] * both + 1e-300
+    error = error / np.maximum(far, np.sqrt(error))
+    return far - error, far + error
 
 
 def _narrow(v: np.ndarray) -> np.ndarray:
@@ -94,17 +101,17 @@ def _placer(samples: dict[int, Sample], pivots: dict[int, np.ndarray], k: int):
             dims = batch["dim"].to_numpy()
             for dim in np.unique(dims).tolist():
                 rows = batch[dims == dim]
-                x = np.concatenate(rows["v"].to_list() or [np.zeros(0)]).astype(np.int64).reshape(len(rows), dim)
+                x = stacked(rows["v"], dim)
                 near, away, floor = np.zeros(len(rows), np.int32), np.zeros(len(rows)), np.full(len(rows), None, object)
                 if dim in pivots:
-                    far = distances(x, pivots[dim])
+                    far, _ = distances(x, pivots[dim])
                     near, away = far.argmin(axis=1).astype(np.int32), far.min(axis=1)
                 asks = np.flatnonzero(rows["asks"].to_numpy())
                 if len(asks) and dim in samples and len(samples[dim][0]) > k:
                     uids, s = samples[dim]
-                    scores = products(x[asks], s).astype(object if abs(x[asks]).max(initial=0) > 1 << 40 else np.float64)
+                    scores = products(x[asks], s).astype(np.float64)
                     scores[rows["uid"].to_numpy()[asks][:, None] == uids[None]] = -np.inf
-                    floor[asks] = np.nextafter(_kth(scores, k).astype(np.float64), -np.inf)
+                    floor[asks] = np.nextafter(_kth(scores, k), -np.inf)
                 yield pd.DataFrame({
                     "uid": rows["uid"], "vec_id": rows["vec_id"], "dim": rows["dim"], "asks": rows["asks"], "near": near, "away": away,
                     "floor": pd.array(floor, "Float64"), "v": [r.tobytes() for r in _narrow(x)] if dim else [b""] * len(rows),
@@ -122,12 +129,12 @@ def _packer(pivots: dict[int, np.ndarray]):
     def packed(rows: pd.DataFrame) -> pd.DataFrame:
         dim = int(rows["dim"].iloc[0])
         x = np.concatenate([_wide(v, 1, dim) for v in rows["v"]])
-        far = distances(x, pivots[dim]) if dim in pivots else np.zeros((len(x), 0))
+        least, most = distances(x, pivots.get(dim, x[:0]))
         return pd.DataFrame([{
             "dim": dim, "part": int(rows["part"].iloc[0]), "rows": len(rows), "uids": rows["uid"].to_numpy(np.int64).tobytes(),
             "ids": rows["vec_id"].to_numpy(np.int64).tobytes(), "vectors": _narrow(x).tobytes(),
             "floors": rows["floor"].to_numpy(np.float64, na_value=-np.inf).tobytes(),
-            "nearest": far.min(axis=0).tobytes(), "farthest": far.max(axis=0).tobytes(), "square": float((x.astype(np.float64) ** 2).sum(axis=1).max()),
+            "nearest": least.min(axis=0).tobytes(), "farthest": most.max(axis=0).tobytes(), "square": float((x.astype(np.float64) ** 2).sum(axis=1).max()),
         }])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,53 +156,98 @@ def _packer(pivots: dict[int, np.ndarray]):
     return run
 
 
-def block_bounds(far: np.ndarray, square: np.ndarray, nearest: np.ndarray, farthest: np.ndarray, most: np.ndarray) -> np.ndarray:
+def _least_score(apart: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """The highest score that vectors at least ``apart`` from each other can have; ``both``: their squares."""
+    high = (both - apart * apart) / 2 + 1e-9 * both + 1e-6  # the last two for rounding
+    return np.maximum(high, float(LONG[0]))
+
+
+def block_bounds(far: Far, square: np.ndarray, nearest: np.ndarray, farthest: np.ndarray, most: np.ndarray) -> np.ndarray:
     """(queries, blocks): no score of the block's vectors is higher, by the farthest of all pivots."""
-    apart = np.zeros((len(far), len(most)))
-    for p in range(far.shape[1]):
-        np.maximum(apart, nearest[None, :, p] - far[:, p, None], out=apart)
-        np.maximum(apart, far[:, p, None] - farthest[None, :, p], out=apart)
-    both = square[:, None] + most[None]
-    return (both - apart * apart) / 2 + 1e-9 * both + 1e-6  # the last two for rounding
+    low, high = far
+    apart = np.zeros((len(low), len(most)))
+    for p in range(low.shape[1]):
+        np.maximum(apart, nearest[None, :, p] - high[:, p, None], out=apart)
+        np.maximum(apart, low[:, p, None] - farthest[None, :, p], out=apart)
+    return _least_score(apart, square[:, None] + most[None])
 
 
-def search(q_uids, q: np.ndarray, floors: np.ndarray, bounds: np.ndarray, blocks: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(query places, ids, scores) of the k best of each query, best first, and the pairs evaluated.
+def candidate_bounds(far: Far, square: np.ndarray, x_far: Far, x_square: np.ndarray) -> np.ndarray:
+    """(queries, candidates): no score of the two is higher, by the pivots that tell both sets apart best."""
+    (low, high), (x_low, x_high) = far, x_far
+    apart = np.zeros((len(low), len(x_low)))
+    gap = np.abs(low.mean(axis=0) - x_low.mean(axis=0)) + low.std(axis=0) + x_low.std(axis=0)
+    for p in np.argsort(-gap)[:TRIED]:
+        np.maximum(apart, low[:, p, None] - x_high[None, :, p], out=apart)
+        np.maximum(apart, x_low[None, :, p] - high[:, p, None], out=apart)
+    return _least_score(apart, square[:, None] + x_square[None])
 
-    blocks: (uids, ids, vectors) of each block, in the order of the columns of ``bounds``.
-    """
-    floors = floors.copy()
-    place, ids, scores, evaluated = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, object), 0
+
+class Block:
+    """Candidates; their distances to the pivots are computed when they are first met."""
+
+    def __init__(self, uids: np.ndarray, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray | None):
+        self.uids, self.ids, self.x = uids, ids, x
+        self.square = (x.astype(np.float64) ** 2).sum(axis=1)
+        self._pivots, self._far = pivots, None
+
+    def far(self) -> Far:
+        if self._far is None:
+            self._far = distances(self.x, self.x[:0] if self._pivots is None else self._pivots)
+        return self._far
+
+
+def _search_group(q_uids, q, far, square, floors, bounds, blocks: list[Block], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    place, ids, scores, evaluated = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
     for b in np.argsort(-bounds.max(axis=0, initial=-np.inf), kind="stable"):
-        uids, block_ids, x = blocks[b]
+        block = blocks[b]
         open_ = np.flatnonzero(bounds[:, b] >= floors)
         if not len(open_):
+            if bounds[:, b].max() < floors.min():
+                break
+            continue
+        can = candidate_bounds((far[0][open_], far[1][open_]), square[open_], block.far(), block.square) >= floors[open_, None]
+        left, cols = np.flatnonzero(can.any(axis=1)), np.flatnonzero(can.any(axis=0))
+        if not len(left):
             continue
-        got = products(q[open_], x)
+        open_, can = open_[left], can[np.ix_(left, cols)]
+        got = products(q[open_], block.x[cols]).astype(np.int64)
         evaluated += got.size
-        own = q_uids[open_][:, None] == uids[None]
+        can &= q_uids[open_][:, None] != block.uids[cols][None]
         least, new = floors[open_], np.isneginf(floors[open_])
-        if new.any() and len(x) > k:
+        if new.any() and len(cols) > k:
             some = got[new].astype(np.float64)
-            some[own[new]] = -np.inf
+            some[~can[new]] = -np.inf
             least[new] = np.nextafter(_kth(some, k), -np.inf)
-        row, col = np.nonzero((got >= least[:, None]) & ~own)
+        row, col = np.nonzero((got >= least[:, None]) & can)
         if not len(row):
             continue
-        exact = got[row, col]
-        exact = exact.astype(np.int64) if exact.dtype == np.float64 else exact
-        place, ids = np.concatenate((place, open_[row])), np.concatenate((ids, block_ids[col]))
-        scores = np.concatenate((scores, exact)) if len(scores) else exact
-        order = np.lexsort((ids, -scores, place))
+        place, ids = np.concatenate((place, open_[row])), np.concatenate((ids, block.ids[cols][col]))
+        scores = np.concatenate((scores, got[row, col]))
+        order = np.lexsort((ids, ~scores, place))  # ~s falls as s rises and has no overflow
         place, ids, scores = place[order], ids[order], scores[order]
-        first = np.searchsorted(place, place)
-        rank = np.arange(len(place)) - first
+        rank = np.arange(len(place)) - np.searchsorted(place, place)
         full = rank == k - 1
         floors[place[full]] = np.maximum(floors[place[full]], np.nextafter(scores[full].astype(np.float64), -np.inf))
         place, ids, scores = place[rank < k], ids[rank < k], scores[rank < k]
     return place, ids, scores, evaluated
 
 
+def search(q_uids, q, far, floors, bounds, blocks: list[Block], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query places, ids, scores) of the k best of each query, best first, and the pairs evaluated.
+
+    far: the queries' distances to the pivots; the columns of ``bounds`` are in the order of blocks.
+    """
+    square = (q.astype(np.float64) ** 2).sum(axis=1)
+    found = []
+    for at in range(0, len(q), GROUP):
+        own = slice(at, at + GROUP)
+        place, *rest = _search_group(q_uids[own], q[own], (far[0][own], far[1][own]), square[own], floors[own].copy(), bounds[own], blocks, k)
+        found.append((place + at, *rest))
+    place, ids, scores, evaluated = zip(*found, strict=True) if found else ([np.zeros(0, np.int64)],) * 3 + ([],)
+    return np.concatenate(place), np.concatenate(ids), np.concatenate(scores), sum(evaluated)
+
+
 def _opened(frame: pd.DataFrame) -> list:
     return [
         (np.frombuffer(u, np.int64), np.frombuffer(i, np.int64), _wide(v, n, d))
@@ -212,22 +264,15 @@ def _searcher(pivots: dict[int, np.ndarray], k: int):
         q_uids, q_ids, q = (np.concatenate([a[j] for a in asks]) for j in range(3))
         floors = np.concatenate([np.frombuffer(f, np.float64) for f in asked["floors"]])
         table = lambda c: np.array([np.frombuffer(r, np.float64) for r in stripe[c]]).reshape(len(stripe), -1)
-        far = distances(q, pivots[dim]) if dim in pivots else np.zeros((len(q), 0))
+        far = distances(q, pivots.get(dim, q[:0]))
         bounds = block_bounds(far, (q.astype(np.float64) ** 2).sum(axis=1), table("nearest"), table("farthest"), stripe["square"].to_numpy())
-        place, ids, scores, _ = search(q_uids, q, floors, bounds, _opened(stripe), k)
-        return pd.DataFrame({"query_uid": q_uids[place], "query_id": q_ids[place], "vec_id": ids, "score": [int(s) for s in scores]})
+        blocks = [Block(*b, pivots.get(dim)) for b in _opened(stripe)]
+        place, ids, scores, _ = search(q_uids, q, far, floors, bounds, blocks, k)
+        return pd.DataFrame({"query_uid": q_uids[place], "query_id": q_ids[place], "vec_id": ids, "score": scores})
 
     return run
 
 
-def integer_vectors(embeddings: DataFrame, scale: int) -> DataFrame:
-    """(vec_id, v) of the rows that take part."""
-    sound = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    rows = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & F.forall("e", sound))
-    return rows.select("vec_id", F.transform("e", lambda x: F.floor(x * float(scale))).cast("array<bigint>").alias("v"))
-
-
 def _sampled(rows: DataFrame) -> dict[int, Sample]:
     """For each of the commonest lengths up to SAMPLE vectors, those with the least digests."""
     common = rows.groupBy("dim").count().orderBy(F.col("count").desc(), "dim").limit(LENGTHS)
@@ -243,8 +288,8 @@ def _sampled(rows: DataFrame) -> dict[int, Sample]:
 def top_k(embeddings: DataFrame, is_query: Column, k: int = 20, scale: int = 64, scratch: Scratch | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best of every query row, against all other rows."""
     scratch = scratch or Scratch(embeddings.sparkSession, "topk")
-    rows = integer_vectors(embeddings, scale).withColumns({"uid": F.monotonically_increasing_id(), "dim": F.size("v")})
-    rows = scratch.table(rows.withColumn("asks", F.coalesce(is_query, F.lit(False))))
+    rows = integer_vectors(embeddings, scale, None, asks=F.coalesce(is_query, F.lit(False))).filter("vec_id is not null").withColumns({"uid": F.monotonically_increasing_id(), "dim": F.size("v")})
+    rows = scratch.table(rows)
     samples = _sampled(rows)
     pivots = {d: far_apart(v) for d, (_, v) in samples.items() if d}
     placed = scratch.table(

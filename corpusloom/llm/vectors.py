@@ -16,17 +16,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_SQUARE = 2.0**60
+MOST = 1 << 62
+LONG = (-(1 << 63), (1 << 63) - 1)
 
 
-def integer_vectors(embeddings: DataFrame, scale: int, **more: Column) -> DataFrame:
-    """(vec_id, v, columns ``more``) of the rows whose vector takes part, v as array<bigint>."""
+def integer_vectors(embeddings: DataFrame, scale: int, most_square: float | None = MOST_SQUARE, **more: Column) -> DataFrame:
+    """(vec_id, v, columns ``more``) of the rows whose vector takes part, v as array<bigint>.
+
+    Without ``most_square`` the sum of squares has no bound and integers beyond MOST are given as MOST.
+    """
     sound = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     extra = [c.alias(name) for name, c in more.items()]
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), *extra)
     rows = rows.filter(F.col("e").isNotNull() & F.forall("e", sound))
     rows = rows.withColumn("v", F.transform("e", lambda x: F.floor(x * float(scale))).cast("array<bigint>"))
-    return rows.filter(square <= MOST_SQUARE).select("vec_id", "v", *more)
+    if most_square is None:
+        rows = rows.withColumn("v", F.transform("v", lambda x: F.greatest(F.lit(-MOST), F.least(x, F.lit(MOST)))))
+    else:
+        rows = rows.filter(square <= most_square)
+    return rows.select("vec_id", "v", *more)
 
 
 def stacked(v: pd.Series, dim: int) -> np.ndarray:
@@ -45,6 +54,12 @@ def from_bytes(raw: Iterable[bytes], dim: int) -> np.ndarray:
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact inner products of the rows of q with those of x: floats where these are exact, else integers."""
+    """Inner products of the rows of q with those of x as exact floats or integers; beyond 64 bits the nearest long."""
     most = int(np.abs(q).max(initial=1)) * int(np.abs(x).max(initial=1)) * max(q.shape[1], 1)
-    return q.astype(np.float64) @ x.astype(np.float64).T if most < 1 << 53 else q @ x.T
+    if most < 1 << 53:
+        return q.astype(np.float64) @ x.astype(np.float64).T
+    if most < 1 << 63:
+        return q @ x.T
+    # numbers of any size one by one, but for components that are far too large nobody gets here
+    whole = q.astype(object) @ x.astype(object).T
+    return np.maximum(np.minimum(whole, LONG[1]), LONG[0]).astype(np.int64).reshape(len(q), len(x))

@@ -9,8 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import annulus, hard_negatives, link_graph, spread
-from corpusloom.llm.queries import RULES
+from corpusloom.llm import annulus, hard_negatives, keyfilter, link_graph, spread, token_output, topk
+from corpusloom.llm.queries import RULES, vocabulary
 
 # --- link graph
 
@@ -251,3 +251,89 @@ def test_hard_negatives_of_nothing(spark):
     assert hard_negatives.mine(vectors_of(spark, one_label), F.col("vec_id") % 2 == 0).collect() == []
     no_anchor = [(1, [1.0], 1), (None, [2.0], 2)]
     assert hard_negatives.mine(vectors_of(spark, no_anchor), F.col("vec_id") % 2 == 0).collect() == []
+
+
+# --- top k
+
+
+def brute_top(rows, asks, k, scale=64):
+    limit = lambda s: max(-(2**63), min(s, 2**63 - 1))
+    whole = [
+        (i, [max(-(2**62), min(math.floor(scale * x), 2**62)) for x in v]) for i, v, *_ in rows
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
+    ]
+    out = []
+    for a, (i, x) in enumerate(whole):
+        if asks(i):
+            scored = sorted((-limit(sum(p * q for p, q in zip(x, y))), j) for b, (j, y) in enumerate(whole) if b != a and len(y) == len(x))
+            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+def topped(frame):
+    return sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in frame.collect())
+
+
+@pytest.mark.parametrize("k", [1, 20])
+def test_top_k_of_awkward_vectors(spark, k):
+    rows = awkward(6, seed=6)
+    assert topped(topk.top_k(vectors_of(spark, rows), F.col("vec_id") % 5 == 0, k)) == brute_top(rows, lambda i: i % 5 == 0, k)
+
+
+def test_top_k_of_scores_beyond_long(spark):
+    rows = [(0, [1e9] * 6, 1), (1, [1e9] * 6, 1), (2, [-1e9] * 6, 1), (3, [1e18, 0.0], 1), (4, [1e18, 5.0], 1), (5, [1e300] * 6, 1), (6, [-1e300] * 6, 1)]
+    rows += [(k, [float(k % 3), 1.0] * 3, 1) for k in range(10, 50)]
+    want = brute_top(rows, lambda i: i % 2 == 0, 20)
+    assert topped(topk.top_k(vectors_of(spark, rows), F.col("vec_id") % 2 == 0, 20)) == want
+    assert (0, 1, 1, 2**63 - 1) in want and (4, 1, 3, 2**63 - 1) in want
+
+
+def test_pivots_leave_most_pairs_out():
+    rng = np.random.default_rng(8)
+    centres = rng.integers(-4000, 4000, (64, 32))
+    x = (centres[np.arange(6400) % 64] + rng.integers(-60, 60, (6400, 32))).astype(np.int64)
+    pivots = topk.far_apart(x[:1024])
+    low, _ = topk.distances(x, pivots)
+    x = x[np.lexsort((low.min(axis=1), low.argmin(axis=1)))]
+    low, high = topk.distances(x, pivots)
+    asks = np.arange(0, 6400, 20)
+    blocks = [topk.Block(np.arange(a, a + 400), np.arange(a, a + 400), x[a : a + 400], pivots) for a in range(0, 6400, 400)]
+    edge = lambda f, d: np.array([f(d[a : a + 400], axis=0) for a in range(0, 6400, 400)])
+    far = (low[asks], high[asks])
+    most = np.array([b.square.max() for b in blocks])
+    bounds = topk.block_bounds(far, (x[asks].astype(float) ** 2).sum(axis=1), edge(np.min, low), edge(np.max, high), most)
+    place, ids, scores, evaluated = topk.search(asks, x[asks], far, np.full(len(asks), -np.inf), bounds, blocks, 10)
+    exact = x[asks] @ x.T
+    for k, a in enumerate(asks):
+        others = np.delete(np.arange(6400), a)
+        best = others[np.lexsort((others, -exact[k, others]))[:10]]
+        assert ids[place == k].tolist() == best.tolist() and scores[place == k].tolist() == exact[k, best].tolist()
+    assert evaluated < 0.2 * exact.size
+
+
+# --- key filter and word cache
+
+
+@pytest.mark.parametrize("step", [1, 60, 1 << 20])
+def test_key_filter_of_regular_keys(spark, step):
+    keys = spark.range(300_000).select((F.col("id") * step).alias("key"))
+    f = keyfilter.build(keys)
+    inside = np.arange(300_000) * step
+    assert f.count > 1 and f.passes(inside).all()
+    assert f.passes(inside + (300_000 * step if step == 1 else 7)).mean() < 0.02
+    per = np.bincount(keyfilter._segments(inside, f.count), minlength=f.count)
+    assert per.max() < 1.1 * per.mean()
+
+
+def test_words_outlive_the_cache(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_output, "CACHED_WORDS", 1000)
+    path = vocabulary("word_bpe_49k.json")
+    coder, library = token_output.WordEncoder(path), Tokenizer.from_file(path)
+    library.no_truncation()
+    rng = random.Random(1)
+    for n in (1, 1200, 30, 999, 5000, 3):
+        text = " ".join("".join(rng.choices("abcdefghijé1.,", k=rng.randrange(1, 9))) for _ in range(n))
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(coder.cache) <= 1001
