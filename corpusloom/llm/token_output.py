@@ -6,7 +6,8 @@ number in it, image), since Spark's writers reach every store that executors sha
 closes at SHARD_IDS ids, which bounds what a task holds.
 
 Defined cases: null text is empty; a document is at least its end id; null doc_ids come
-first; rows with equal doc_ids follow by a digest of the text; no rows give no shards.
+first; rows with equal doc_ids follow by a digest of the text; no rows give no shards. A text
+of any length is encoded in one piece, and its own words don't depend on what the cache holds.
 """
 
 from __future__ import annotations
@@ -71,9 +72,9 @@ class WordEncoder:
     def _ids(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.cache) + len(words) > CACHED_WORDS:
-            self.cache = {"": b""}
+    def _learned(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of new words, which the cache gets as well; a full cache is emptied first."""
+        found: dict[str, bytes] = {}
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
             plain = [w for w in part if w.isalpha() and max(w) < "\u0130"]
@@ -82,9 +83,14 @@ class WordEncoder:
                 stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
                 if len(stops) == len(plain):
                     raw = ids.tobytes()
-                    self.cache.update(zip(plain, (raw[4 * a : 4 * b] for a, b in zip([0, *stops], stops)), strict=True))
-                    part = [w for w in part if w not in self.cache]
-            self.cache.update(zip(part, self._ids(part), strict=True))
+                    found.update(zip(plain, (raw[4 * a : 4 * b] for a, b in zip([0, *stops], stops)), strict=True))
+                    part = [w for w in part if w not in found]
+            found.update(zip(part, self._ids(part), strict=True))
+        if len(self.cache) + len(found) > CACHED_WORDS:
+            self.cache = {"": b""}
+        if len(found) < CACHED_WORDS:
+            self.cache.update(found)
+        return found
 
     def encode(self, text: str) -> bytes:
         text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
@@ -102,15 +108,11 @@ class WordEncoder:
                 if w[-1] in self.marks and w[-2:-1].isalnum() and w[-2] < "\u0130":
                     w = w[:-1]
                 bare.append(w.lower() if w.isascii() and "<|" not in w else w)  # added tokens keep their case
-            new = [w for w in dict.fromkeys(bare) if w not in self.cache]
-            if new:
-                before = len(self.cache)
-                self._learn(new)
-                if len(self.cache) < before + len(new):  # it was emptied
-                    self._learn([w for w in dict.fromkeys(bare) if w not in self.cache])
+            # the text's own words, whatever the cache holds by then
+            own = {w: self.cache.get(w) for w in bare}
+            own.update(self._learned([w for w, ids in own.items() if ids is None]))
             for k, w in zip(missing, bare, strict=True):
-                ids = self.cache[w]
-                found[k] = ids + self.marks[words[k][-1]] if len(w) < len(words[k]) else ids
+                found[k] = own[w] + self.marks[words[k][-1]] if len(w) < len(words[k]) else own[w]
         return b"".join(found)
 
 
