@@ -8,10 +8,11 @@ of keys.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from corpusloom.llm.shingles import mix64
 
@@ -26,6 +27,19 @@ def _places(keys: np.ndarray) -> list[np.ndarray]:
     return [(mix64(k + np.uint64(j * 0x9E37 + 1)) % np.uint64(SEGMENT)).astype(np.int64) for j in range(_HASHES)]
 
 
+def _segments(keys: np.ndarray, count: int) -> np.ndarray:
+    """By a digest of their own, so that keys of any pattern are dealt evenly."""
+    return (mix64(np.ascontiguousarray(keys).view(np.uint64) ^ np.uint64(0x5EED)) % np.uint64(count)).astype(np.int64)
+
+
+def _dealt(count: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"segment": _segments(batch["key"].to_numpy(np.int64), count), "key": batch["key"]})
+
+    return run
+
+
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
     bits = np.zeros(SEGMENT, bool)
     for at in _places(rows["key"].to_numpy(np.int64)):
@@ -49,17 +63,17 @@ class Filter:
             for k, bits in self.segments.items():
                 self._opened[k] = np.frombuffer(bits, np.uint8)
         keys = np.ascontiguousarray(keys).view(np.int64)
-        found, segment = np.ones(len(keys), bool), np.mod(keys, self.count)
+        found, segment = np.ones(len(keys), bool), _segments(keys, self.count)
         for at in _places(keys):
             found &= (self._opened[segment, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
         return found
 
 
 def build(keys: DataFrame) -> Filter:
-    """The filter of the non-null ``key`` (long) of all rows; keys should be digests."""
+    """The filter of the non-null ``key`` (long) of all rows."""
     keys = keys.filter("key is not null").select("key").distinct()
     count = max(1, min(-(-keys.count() * BITS_A_KEY // SEGMENT), MOST_BITS // SEGMENT))
-    filled = keys.withColumn("segment", F.pmod("key", F.lit(count)).cast("int"))
+    filled = keys.mapInPandas(_dealt(count), "segment int, key long")
     # a segment's keys are bounded by its share, as long as MOST_BITS suffice
     rows = filled.groupBy("segment").applyInPandas(_fill, "segment int, bits binary").collect()  # MOST_BITS / 8 bytes at most
     return Filter({r["segment"]: bytes(r["bits"]) for r in rows}, count)
