@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import tokens
 from corpusloom.operators import chunking, retrieval as r
+from corpusloom.operators.sparse_index import SparseIndex
 from corpusloom.plans.tables import read
+from corpusloom.sources import shared
 
 K = 10
 FILLERS = ("the", "and", "of", "to")
@@ -20,11 +22,50 @@ def _docs(spark, sf_dir):
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source", "text")
 
 
+def _with_terms(docs):
+    return docs.select("chunk_id", "source", tokens(F.col("text")).alias("terms"))
+
+
+def _asked(spark, sf_dir):
+    return r.term_counts(_queries(spark, sf_dir), "query_id", tokens(F.col("question")))
+
+
+def _index(spark, sf_dir):
+    """The index of all documents, built by the first query of a session that needs it."""
+    build = lambda path: SparseIndex(spark, path).build(_with_terms(_docs(spark, sf_dir)))
+    return SparseIndex(spark, shared.held(read(spark, sf_dir, "documents"), "documents-index", build))
+
+
 def _bm25(spark, sf_dir, k=K):
-    q, d = _queries(spark, sf_dir), _docs(spark, sf_dir)
-    postings = r.term_counts(d, "chunk_id", tokens(F.col("text")))
-    lengths = d.select("chunk_id", F.size(tokens(F.col("text"))).alias("length"))
-    return r.bm25_top_k(r.term_counts(q, "query_id", tokens(F.col("question"))), postings, lengths, k)
+    return _index(spark, sf_dir).search(_asked(spark, sf_dir), k)
+
+
+def index_update(spark, sf_dir):
+    """An index of half texts for half of the sources, brought up to date; the last source is deleted."""
+    d = _docs(spark, sf_dir)
+    changed, last = F.coalesce(F.md5("source") < "8", F.lit(True)), d.agg(F.max("source")).first()[0]
+    index = SparseIndex(spark, shared.fresh_dir(spark, "index-update"))
+    half = F.when(changed, F.expr("left(text, length(text) div 2)")).otherwise(F.col("text"))
+    index.build(_with_terms(d.withColumn("text", half)))
+    index.update(_with_terms(d.filter(changed & F.coalesce(F.col("source") != last, F.lit(True)))), d.filter(changed | (F.col("source") == last)).select("source"))
+    return index.search(_asked(spark, sf_dir), K).select("query_id", "chunk_id", "rank")
+
+
+def index_merged(spark, sf_dir):
+    """An index grown source by source group and merged into one segment."""
+    d = _with_terms(_docs(spark, sf_dir))
+    part = F.when(F.md5("source") < "5", 0).when(F.md5("source") < "a", 1).otherwise(2)
+    index = SparseIndex(spark, shared.fresh_dir(spark, "index-merged"))
+    index.build(d.filter(part == 0))
+    for k in (1, 2):
+        index.update(d.filter(part == k), d.filter(part == k).select("source"))
+    index.merge()
+    return index.search(_asked(spark, sf_dir), K).select("query_id", "chunk_id", "rank")
+
+
+def index_skips(spark, sf_dir):
+    """Blocks that hold a query's terms, and those that block maxima left unread."""
+    return _index(spark, sf_dir).skips(_asked(spark, sf_dir), 3)
 
 
 def bm25_hits(spark, sf_dir, k):
@@ -178,7 +219,7 @@ def fill_down(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     bm25_topk, dense_topk, dense_topk_filtered, rrf_fusion, source_diversity, hybrid_retrieval, rerank_threshold_fallback, query_overlap_filter,
     keyword_recall, rerank_skips, cited_sources, answer_overlap, authority_weights, parent_lookup, sibling_expand, timeliness_weights, retrieval_confidence, markdown_sections, table_detect, child_packing,
-    recursive_chunks, row_summaries, fill_down,
+    recursive_chunks, row_summaries, fill_down, index_update, index_merged, index_skips,
 )}
 
 _TOK = "regexp_extract_all(lower({0}), '[一-鿿a-z0-9]+')"
@@ -204,6 +245,8 @@ _PASS = """CASE WHEN length(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')
 
 ORACLES = {
     "bm25_topk": f"WITH {_BM25} SELECT query_id, chunk_id, rank FROM ranked WHERE rank <= {K}",
+    "index_update": f"WITH {_BM25.replace('FROM documents)', 'FROM documents WHERE source IS NULL OR source <> (SELECT max(source) FROM documents))')} SELECT query_id, chunk_id, rank FROM ranked WHERE rank <= {K}",
+    "index_merged": f"WITH {_BM25} SELECT query_id, chunk_id, rank FROM ranked WHERE rank <= {K}",
     "dense_topk": f"WITH {_DENSE.format('')} SELECT query_id, chunk_id, rank FROM dense WHERE rank <= {K}",
     "dense_topk_filtered": f"WITH {_DENSE.format('AND b.label <> 3')} SELECT query_id, chunk_id, rank FROM dense WHERE rank <= {K}",
     "rrf_fusion": f"WITH {_BM25}, {_DENSE.format('')}, {_FUSED.format('0.6')} SELECT query_id, chunk_id, rank FROM fused WHERE rank <= {K}",
