@@ -11,11 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.functions import vectors
 from corpusloom.functions.text import clean, head_and_tail, overlaps
-
-#: Queries that are compared with all rows at once; more are taken in blocks of this size.
-QUERY_BLOCK = 512
+from corpusloom.operators.vector_collection import best_of_lists, units
 
 
 def top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -27,20 +24,12 @@ def top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
 def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Most similar chunks by cosine. queries: (query_id, q), chunks: (chunk_id, v).
 
-    Queries are packed into blocks of QUERY_BLOCK vectors, one row each, so every chunk meets
-    a block once and keeps its similarity to each query of the block; a chunk isn't compared
-    with itself.
+    Chunks of queries meet stripes of rows as matrix products, vectors of a length with each
+    other; the k best of each leave a task. A chunk isn't compared with itself.
     """
-    unit = lambda c: F.transform(c, lambda x: x / vectors.norm(c))
-    asked = queries.filter(vectors.norm(F.col("q")) > 0).select("query_id", unit(F.col("q")).alias("q"))
-    block = F.floor((F.row_number().over(W.orderBy("query_id")) - 1) / QUERY_BLOCK)  # one light row a query
-    numbered = asked.join(asked.select("query_id", block.alias("block")), "query_id")
-    blocks = numbered.groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("queries")).drop("block")
-    known = chunks.filter(vectors.norm(F.col("v")) > 0).select("chunk_id", unit(F.col("v")).alias("v"))
-    both = known.join(blocks, F.lit(True))
-    one = both.select("chunk_id", "v", F.explode("queries").alias("a")).filter(F.col("a.query_id") != F.col("chunk_id"))
-    scored = one.select(F.col("a.query_id").alias("query_id"), "chunk_id", F.round(vectors.dot(F.col("a.q"), F.col("v")), 6).alias("score"))
-    return top(scored, k, F.col("score").desc(), F.col("chunk_id"))
+    asked = units(queries, "query_id", "q").withColumn("list", F.size("v"))
+    known = units(chunks, "chunk_id", "v").withColumn("list", F.size("v"))
+    return best_of_lists(asked, known, k)
 
 
 def term_counts(texts: DataFrame, key: str, terms: Column) -> DataFrame:

@@ -84,6 +84,43 @@ def centres_of(rows: DataFrame, lists: int, rounds: int = 5) -> np.ndarray:
     return centres
 
 
+def best_of_lists(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, rank, score) of the k highest inner products of queries and rows of the same list.
+
+    queries: (query_id, v, list); rows: (chunk_id, v, list); vectors of a list have one length. Lists
+    are few, and their sizes are collected.
+    """
+    n = queries.select("query_id").distinct().count()
+    chunk = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // CHUNK)))).cast("int")
+    sizes = {r["list"]: max(1, -(-r["count"] // PIECE)) for r in rows.groupBy("list").count().collect()}
+    if not sizes:
+        return rows.sparkSession.createDataFrame([], "query_id long, chunk_id long, rank int, score double")
+    pieces = F.coalesce(F.create_map(*[F.lit(x) for s in sizes.items() for x in s])[F.col("list")], F.lit(1))
+    stripes = rows.withColumn("piece", F.pmod(F.xxhash64("chunk_id"), pieces).cast("int"))
+    chunks = queries.withColumn("chunk", chunk)
+    named = chunks.select(F.col("list").alias("in_list"), F.col("chunk").alias("in_chunk")).distinct()
+    # a list's rows go to each chunk of queries that asks it
+    right = stripes.join(named, F.col("list") == F.col("in_list")).groupBy("list", "piece", "in_chunk")
+    left = chunks.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1))).groupBy("list", "piece", "chunk")
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+        dim, ids = len(b["v"].iloc[0]), b["chunk_id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], _matrix(b["v"], dim)[order]
+        scores = np.round(_matrix(a["v"], dim) @ x.T, 6)
+        scores[a["query_id"].to_numpy()[:, None] == ids[None]] = -np.inf
+        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        row = np.repeat(np.arange(len(a)), top.shape[1])
+        out = pd.DataFrame({"query_id": a["query_id"].to_numpy()[row], "chunk_id": ids[top.ravel()], "score": scores[row, top.ravel()]})
+        return out[out["score"] > -np.inf]
+
+    found = left.cogroup(right).applyInPandas(best, "query_id long, chunk_id long, score double")
+    nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    return found.withColumn("rank", nth).filter(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "score")
+
+
 class VectorCollection:
     """A collection below ``path``; vectors come as (chunk_id long, v array<double>) of any norm."""
 
@@ -185,37 +222,8 @@ class VectorCollection:
 
         asked = units(queries, "query_id", "q").filter(F.size("v") == dim)
         routed = asked.mapInPandas(route, "query_id long, v array<double>, list array<int>").select("query_id", "v", F.explode("list").alias("list"))
-        n = asked.count()
-        chunk = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // CHUNK)))).cast("int")
         met = sorted(r["list"] for r in routed.select("list").distinct().collect())  # lists at most
-        live = self.rows(met)
-        sizes = {r["list"]: max(1, -(-r["count"] // PIECE)) for r in live.groupBy("list").count().collect()}  # lists at most
-        if not sizes:
-            return self.spark.createDataFrame([], "query_id long, chunk_id long, rank int, score double")
-        pieces = F.coalesce(F.create_map(*[F.lit(x) for s in sizes.items() for x in s])[F.col("list")], F.lit(1))
-        stripes = live.withColumn("piece", F.pmod(F.xxhash64("chunk_id"), pieces).cast("int"))
-        chunks = routed.withColumn("chunk", chunk)
-        named = chunks.select(F.col("list").alias("in_list"), F.col("chunk").alias("in_chunk")).distinct()
-        # a list's rows go to each chunk of queries that probes it
-        right = stripes.join(named, F.col("list") == F.col("in_list")).groupBy("list", "piece", "in_chunk")
-        left = chunks.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1))).groupBy("list", "piece", "chunk")
-
-        def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-            ids = b["chunk_id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], _matrix(b["v"], dim)[order]
-            scores = np.round(_matrix(a["v"], dim) @ x.T, 6)
-            scores[a["query_id"].to_numpy()[:, None] == ids[None]] = -np.inf
-            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            row = np.repeat(np.arange(len(a)), top.shape[1])
-            out = pd.DataFrame({"query_id": a["query_id"].to_numpy()[row], "chunk_id": ids[top.ravel()], "score": scores[row, top.ravel()]})
-            return out[out["score"] > -np.inf]
-
-        found = left.cogroup(right).applyInPandas(best, "query_id long, chunk_id long, score double")
-        nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-        return found.withColumn("rank", nth).filter(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "score")
+        return best_of_lists(routed, self.rows(met), k)
 
     def recall(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
         """(query_id, recall): the share of the exact k best that ``probes`` lists give."""

@@ -58,7 +58,7 @@ def symptom_durations(spark, sf_dir):
 
 def medication_review(spark, sf_dir):
     answer = F.concat(F.lit("for "), F.col("o_orderstatus"), F.when(F.col("id") % 2 == 0, " use").otherwise(""), F.when(F.col("id") % 3 == 0, " dose").otherwise(""), F.lit("  "))
-    people = _baskets(spark, sf_dir).select("id", answer.alias("answer"), F.slice("findings", 1, 40).alias("items"), F.array("o_orderpriority").alias("conditions"))
+    people = _baskets(spark, sf_dir).select("id", answer.alias("answer"), F.col("findings").alias("items"), F.array("o_orderpriority").alias("conditions"))
     out = r.review_medication(people, MEDICATION)
     return out.select("id", "status", F.array_join("risk_tags", ",").alias("tags"), F.md5("revised").alias("revised_md5"))
 
