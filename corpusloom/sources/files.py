@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.sources.shadow import Pointer
+
 #: Tried in order; the first that decodes wins.
 ENCODINGS = ("utf-8", "gbk", "gb2312", "utf-8-sig")
 
@@ -111,13 +113,16 @@ def append_audit(rows: DataFrame, path: str) -> None:
 
 
 def write_pointer(spark: SparkSession, path: str, current: str, previous: str | None) -> None:
-    """A one-row table that names the live collection and the one before."""
-    spark.createDataFrame([(current, previous)], "current string, previous string").coalesce(1).write.mode("overwrite").parquet(path)
+    """Names the live collection and the one before; what was named before stays whole until then."""
+    pointer = Pointer(spark, path)
+    held = pointer.read()
+    if not pointer.write({"current": current, "previous": previous}, held[0] if held else None):
+        raise RuntimeError("another switch came first")
 
 
 def read_pointer(spark: SparkSession, path: str) -> tuple[str, str | None]:
-    row = spark.read.schema("current string, previous string").parquet(path).first()
-    return row["current"], row["previous"]
+    _, held = Pointer(spark, path).read()
+    return held["current"], held["previous"]
 
 
 def switch(spark: SparkSession, path: str, new: str) -> None:
