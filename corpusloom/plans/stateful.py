@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.plans.tables import read
+from corpusloom.sources import shared
 from corpusloom.streaming import state
+from corpusloom.streaming.writers import EventTable, start
 
 #: The events of a user lie hours apart.
 RECOVERY = 20 * 3_600_000
@@ -40,7 +42,32 @@ def threshold_current(spark, sf_dir):
     return state.current(names, state.settings(_values(spark, sf_dir), 0.5, 2.0, 60.0))
 
 
-QUERIES = {f.__name__: f for f in (breaker_states, breaker_rejections, threshold_settings, threshold_current)}
+def _written(spark, sf_dir):
+    """Two queries stream ``events`` into one table, odd and even ones, and one batch is delivered again."""
+    root = shared.fresh_dir(spark, "event-table")
+    table = EventTable(spark, root, "event_id long, user_id long, kind string, at timestamp_ntz, value double")
+    shape = lambda odd: lambda df: df.filter(F.col("event_id") % 2 == odd).select("event_id", "user_id", F.col("event_type").alias("kind"), F.col("ts").alias("at"), "value")
+    schema = read(spark, sf_dir, "events").schema
+    for odd in (0, 1):
+        # a glob, since a stream reads folders and names
+        stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+        start(stream, table, f"q{odd}", f"{root}/checkpoint-{odd}", shape(odd)).awaitTermination()
+    table.write(shape(1)(read(spark, sf_dir, "events")), "q1", 0)
+    return table
+
+
+def events_written(spark, sf_dir):
+    return _written(spark, sf_dir).rows().groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_ids"))
+
+
+def events_upserted(spark, sf_dir):
+    """The newest event of each user and kind, before and after compaction alike."""
+    table, order = _written(spark, sf_dir), [F.col("at"), F.col("event_id")]
+    table.compact(["user_id", "kind"], order)
+    return table.latest(["user_id", "kind"], order).select("user_id", "kind", "event_id")
+
+
+QUERIES = {f.__name__: f for f in (events_written, events_upserted, breaker_states, breaker_rejections, threshold_settings, threshold_current)}
 
 _STEPS = f"""WITH RECURSIVE e AS (
   SELECT 'u' || user_id AS service, event_id, epoch_ms(ts) AS due, CAST(json_extract_string(props, '$.k') AS BIGINT) >= 40 AS ok,
@@ -61,6 +88,8 @@ u AS (SELECT p.name, p.n, v.value, row_number() OVER (PARTITION BY p.name, p.n O
 s AS (SELECT name, n, greatest(2, least(60, value))::DOUBLE AS threshold FROM u WHERE place = least(size - 1, floor(size * {0}::DOUBLE)))"""
 
 ORACLES = {
+    "events_written": "SELECT event_type AS kind, count(*) AS n, count(*) AS n_ids FROM events GROUP BY event_type",
+    "events_upserted": "SELECT user_id, event_type AS kind, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     "breaker_states": f"{_STEPS} SELECT * FROM steps",
     "breaker_rejections": f"""{_STEPS} SELECT service, count(*) AS calls, count(*) FILTER (NOT allowed) AS rejected, count(*) FILTER (before = 'half_open') AS probes FROM steps GROUP BY service""",
     "threshold_settings": f"{_SETTINGS.format('0.1')} SELECT * FROM s",
