@@ -22,27 +22,32 @@ MOST_BITS = 1 << 30
 _HASHES = 3
 
 
-def _places(keys: np.ndarray) -> list[np.ndarray]:
+def _hashes(keys: np.ndarray) -> list[np.ndarray]:
     k = np.ascontiguousarray(keys).view(np.uint64)
-    return [(mix64(k + np.uint64(j * 0x9E37 + 1)) % np.uint64(SEGMENT)).astype(np.int64) for j in range(_HASHES)]
+    return [mix64(k + np.uint64(j * 0x9E37 + 1)) for j in range(_HASHES)]
 
 
-def _segments(keys: np.ndarray, count: int) -> np.ndarray:
-    """By a digest of their own, so that keys of any pattern are dealt evenly."""
-    return (mix64(np.ascontiguousarray(keys).view(np.uint64) ^ np.uint64(0x5EED)) % np.uint64(count)).astype(np.int64)
+def _places(hashes: list[np.ndarray]) -> list[np.ndarray]:
+    """Bits within a segment, by the low bits of each hash."""
+    return [(h % np.uint64(SEGMENT)).astype(np.int64) for h in hashes]
+
+
+def _segments(hashes: list[np.ndarray], count: int) -> np.ndarray:
+    """By the high bits of a hash, so that keys of any pattern are dealt evenly."""
+    return (hashes[0] // np.uint64(SEGMENT) % np.uint64(count)).astype(np.int64)
 
 
 def _dealt(count: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"segment": _segments(batch["key"].to_numpy(np.int64), count), "key": batch["key"]})
+            yield pd.DataFrame({"segment": _segments(_hashes(batch["key"].to_numpy(np.int64)), count), "key": batch["key"]})
 
     return run
 
 
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
     bits = np.zeros(SEGMENT, bool)
-    for at in _places(rows["key"].to_numpy(np.int64)):
+    for at in _places(_hashes(rows["key"].to_numpy(np.int64))):
         bits[at] = True
     return pd.DataFrame({"segment": rows["segment"].iloc[:1], "bits": [np.packbits(bits).tobytes()]})
 
@@ -63,8 +68,9 @@ class Filter:
             for k, bits in self.segments.items():
                 self._opened[k] = np.frombuffer(bits, np.uint8)
         keys = np.ascontiguousarray(keys).view(np.int64)
-        found, segment = np.ones(len(keys), bool), _segments(keys, self.count)
-        for at in _places(keys):
+        hashes = _hashes(keys)
+        found, segment = np.ones(len(keys), bool), _segments(hashes, self.count)
+        for at in _places(hashes):
             found &= (self._opened[segment, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
         return found
 
