@@ -1,26 +1,19 @@
 """Dictionary matching, routing, query rewriting and safety rules.
 
 Dictionaries and rule tables are data: the caller passes them, and they are small. Matching
-many words in long texts runs through an Aho-Corasick automaton in Arrow batches; what an
-expression can do stays in the JVM.
+many words in long texts runs in Arrow batches (operators/dictionary.py); what an expression
+can do stays in the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import replace_in_turn
-
-
-def _inside(text: str, start: int, end: int) -> bool:
-    """Whether a Latin letter or digit touches the stretch, so that it is part of a longer word."""
-    before, after = text[start - 1 : start], text[end : end + 1]
-    plain = lambda c: c.isascii() and c.isalnum()
-    return bool(before) and plain(before) and plain(text[start]) or bool(after) and plain(after) and plain(text[end - 1])
+from corpusloom.operators.dictionary import Longest, Words, scan_words
 
 
 def find_all(texts: DataFrame, words: dict[str, str], negators: Sequence[str] = (), boundaries: bool = True) -> DataFrame:
@@ -29,32 +22,9 @@ def find_all(texts: DataFrame, words: dict[str, str], negators: Sequence[str] =
     texts: (id, text). With boundaries a hit is dropped if a negator stands right before it,
     if it is part of a longer Latin word, or if it is part of a longer hit.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for w, c in words.items():
-            automaton.add_word(w, (w, c))
-        automaton.make_automaton()
-        for batch in batches:
-            rows = []
-            for i, text in zip(batch["id"], batch["text"], strict=True):
-                hits = [(end + 1 - len(w), end + 1, w, c) for end, (w, c) in automaton.iter(text)] if words else []
-                if boundaries:
-                    hits = [h for h in hits if not _inside(text, h[0], h[1]) and not any(text[: h[0]].endswith(n) for n in negators)]
-                    hits.sort(key=lambda h: (h[0], -h[1]))
-                    reach, kept = -1, []
-                    for h in hits:
-                        if h[1] > reach:
-                            kept.append(h)
-                            reach = h[1]
-                    hits = kept
-                rows += [(i, w, c, a, b) for a, b, w, c in sorted(hits)]
-            yield pd.DataFrame(rows, columns=["id", "keyword", "canonical", "start", "stop"])
-
-    known = texts.select("id", F.coalesce("text", F.lit("")).alias("text"))
-    return known.mapInPandas(run, "id long, keyword string, canonical string, start int, stop int")
+    held = Words([("", w, c, "", "") for w, c in words.items() if w])
+    hits = scan_words(texts, held, Longest(negators) if boundaries else None)
+    return hits.select("id", "keyword", "canonical", F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))
 
 
 def canonical_names(hits: DataFrame) -> DataFrame:
