@@ -1,8 +1,8 @@
-"""Vector expressions over arrays of numbers; all stay in the JVM."""
+"""Vector expressions over arrays of numbers, and vectors of texts; all stay in the JVM."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,3 +19,17 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; 0 if either vector has no length."""
     lengths = norm(a) * norm(b)
     return F.when(lengths == 0, F.lit(0.0)).otherwise(dot(a, b) / lengths)
+
+
+def hashed_vectors(texts: DataFrame, key: str, terms: Column, dim: int = 64) -> DataFrame:
+    """(key, v): a term adds its count to the place that its digest names, or takes it away, as the digest says.
+
+    Texts without terms have no row; rows of a key count together. ``dim`` is 256 at most.
+    """
+    counts = texts.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    digest = F.md5("term")
+    place = F.conv(F.substring(digest, 1, 2), 16, 10).cast("int") % dim
+    signed = F.when(F.substring(digest, 3, 1) < "8", F.col("n")).otherwise(-F.col("n"))
+    sums = counts.groupBy(key, place.alias("place")).agg(F.sum(signed).cast("double").alias("x"))
+    whole = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "x"))).alias("m"))
+    return whole.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda p: F.coalesce(F.col("m")[p], F.lit(0.0))).alias("v"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import tokens
+from corpusloom.functions.vectors import hashed_vectors
 from corpusloom.operators import chunking, retrieval as r
 from corpusloom.operators.sparse_index import SparseIndex
 from corpusloom.plans.tables import read
@@ -94,9 +95,18 @@ def dense_topk_filtered(spark, sf_dir):
     return r.dense_top_k(asked, live, K).select("query_id", "chunk_id", "rank")
 
 
+def _text_dense(spark, sf_dir, k):
+    """The dense leg of every benchmark item: vectors of its words against those of all documents."""
+    asked = hashed_vectors(_queries(spark, sf_dir), "query_id", tokens(F.col("question"))).withColumnRenamed("v", "q")
+    known = hashed_vectors(_docs(spark, sf_dir), "chunk_id", tokens(F.col("text")))
+    # numbers of items and documents overlap, and a row of a query's own number would be left out
+    best = r.dense_top_k(asked.withColumn("query_id", -1 - F.col("query_id")), known, k)
+    return best.withColumn("query_id", -1 - F.col("query_id"))
+
+
 def rrf_fusion(spark, sf_dir):
-    """The sparse leg of every benchmark item fused with the dense leg of the vector of the same number."""
-    dense = _dense(spark, sf_dir, 20).withColumn("query_id", (F.col("query_id") / 50).cast("long"))
+    """The sparse leg of every benchmark item fused with its dense leg."""
+    dense = _text_dense(spark, sf_dir, 20)
     return r.fuse(dense, _bm25(spark, sf_dir, 20), 0.6, K).select("query_id", "chunk_id", "rank")
 
 
@@ -107,7 +117,7 @@ def source_diversity(spark, sf_dir):
 
 def hybrid_retrieval(spark, sf_dir):
     """Sparse and dense legs, fusion, at most three of a source, top five."""
-    dense = _dense(spark, sf_dir, 20).withColumn("query_id", (F.col("query_id") / 50).cast("long"))
+    dense = _text_dense(spark, sf_dir, 20)
     fused = r.fuse(dense, _bm25(spark, sf_dir, 20), 0.5, 20)
     kept = r.diverse(fused.join(_docs(spark, sf_dir).select("chunk_id", "source"), "chunk_id"), 3)
     return kept.filter("rank <= 5").select("query_id", "chunk_id", "rank")
@@ -237,7 +247,14 @@ _DENSE = """e AS (SELECT vec_id AS chunk_id, label, list_transform(embedding, la
 u AS (SELECT chunk_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e WHERE list_dot_product(v, v) > 0),
 dense AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
   FROM (SELECT a.chunk_id AS query_id, b.chunk_id, round(list_dot_product(a.v, b.v), 6) AS score FROM u a JOIN u b ON a.chunk_id <> b.chunk_id WHERE a.chunk_id % 50 = 0 {0}))"""
-_FUSED = """legs AS (SELECT query_id // 50 AS query_id, chunk_id, 0 AS leg, rank FROM dense WHERE rank <= 20 UNION ALL SELECT query_id, chunk_id, 1, rank FROM ranked WHERE rank <= 20),
+# vectors of texts: a word adds its count to one of 64 places, by its digest, or takes it away
+_HASHED = f"""tw AS (SELECT side, id, term, count(*) AS n FROM (SELECT 0 AS side, query_id AS id, unnest({_TOK.format('question')}) AS term FROM q UNION ALL SELECT 1, chunk_id, unnest({_TOK.format('text')}) FROM d) GROUP BY ALL),
+tv AS (SELECT side, id, (('0x' || left(md5(term), 2))::INT % 64) AS place, sum(CASE WHEN substr(md5(term), 3, 1) < '8' THEN n ELSE -n END)::DOUBLE AS x FROM tw GROUP BY ALL),
+tl AS (SELECT side, id, sqrt(sum(x * x)) AS l FROM tv GROUP BY ALL HAVING l > 0), tu AS (SELECT side, id, place, x / l AS x FROM tv JOIN tl USING (side, id)),
+tg AS (SELECT side, id, list_transform(range(64), lambda p: coalesce(map_from_entries(list((place, x)))[p], 0.0)) AS v FROM tu GROUP BY ALL),
+dense AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+  FROM (SELECT a.id AS query_id, b.id AS chunk_id, round(list_dot_product(a.v, b.v), 6) AS score FROM tg a JOIN tg b ON a.side = 0 AND b.side = 1))"""
+_FUSED = """legs AS (SELECT query_id, chunk_id, 0 AS leg, rank FROM dense WHERE rank <= 20 UNION ALL SELECT query_id, chunk_id, 1, rank FROM ranked WHERE rank <= 20),
 fz AS (SELECT query_id, chunk_id, round(sum((CASE WHEN leg = 0 THEN {0} ELSE 1 - {0} END)::DOUBLE / (60 + rank)), 9) AS score, min({{'leg': leg, 'rank': rank}}) AS first FROM legs GROUP BY ALL),
 fused AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id) AS rank FROM fz)"""
 _JOINED = "ranked r JOIN q USING (query_id) JOIN d USING (chunk_id)"
@@ -249,10 +266,10 @@ ORACLES = {
     "index_merged": f"WITH {_BM25} SELECT query_id, chunk_id, rank FROM ranked WHERE rank <= {K}",
     "dense_topk": f"WITH {_DENSE.format('')} SELECT query_id, chunk_id, rank FROM dense WHERE rank <= {K}",
     "dense_topk_filtered": f"WITH {_DENSE.format('AND b.label <> 3')} SELECT query_id, chunk_id, rank FROM dense WHERE rank <= {K}",
-    "rrf_fusion": f"WITH {_BM25}, {_DENSE.format('')}, {_FUSED.format('0.6')} SELECT query_id, chunk_id, rank FROM fused WHERE rank <= {K}",
+    "rrf_fusion": f"WITH {_BM25}, {_HASHED}, {_FUSED.format('0.6')} SELECT query_id, chunk_id, rank FROM fused WHERE rank <= {K}",
     "source_diversity": f"""WITH {_BM25}, o AS (SELECT query_id, chunk_id, rank, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS k FROM ranked JOIN d USING (chunk_id) WHERE rank <= 20)
 SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM o WHERE k = 1""",
-    "hybrid_retrieval": f"""WITH {_BM25}, {_DENSE.format('')}, {_FUSED.format('0.5')}, o AS (SELECT query_id, chunk_id, rank, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS k FROM fused JOIN d USING (chunk_id) WHERE rank <= 20)
+    "hybrid_retrieval": f"""WITH {_BM25}, {_HASHED}, {_FUSED.format('0.5')}, o AS (SELECT query_id, chunk_id, rank, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS k FROM fused JOIN d USING (chunk_id) WHERE rank <= 20)
 SELECT query_id, chunk_id, n AS rank FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM o WHERE k <= 3) WHERE n <= 5""",
     "rerank_threshold_fallback": f"""WITH {_BM25}, cj AS (SELECT query_id, chunk_id, question, {_PASS} AS t FROM {_JOINED} WHERE rank <= {K}),
 pp AS (SELECT *, CASE WHEN length(t) <= 200 THEN t ELSE substr(t, 1, 133) || right(t, 67) END AS passage FROM cj WHERE t <> ''),

@@ -98,3 +98,18 @@ def test_delivery_is_once(spark, tmp_path):
         spark.createDataFrame(_events(), logs.EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         logs.deliver(logs.read_events(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 40
+
+
+def test_hashed_vectors(spark):
+    import hashlib
+
+    from corpusloom.functions.vectors import hashed_vectors
+
+    texts = [(1, ["a", "b", "a"]), (2, []), (3, None), (4, [f"w{n}" for n in range(300)]), (1, ["c"])]
+    got = {r["id"]: list(r["v"]) for r in hashed_vectors(spark.createDataFrame(texts, "id long, terms array<string>"), "id", F.col("terms"), 16).collect()}
+    want = {}
+    for i, terms in texts:
+        for t_ in terms or []:
+            digest = hashlib.md5(t_.encode()).hexdigest()
+            want.setdefault(i, [0.0] * 16)[int(digest[:2], 16) % 16] += 1.0 if digest[2] < "8" else -1.0
+    assert got == want
