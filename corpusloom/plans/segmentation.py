@@ -11,6 +11,8 @@ from corpusloom.plans.tables import read
 from corpusloom.sources import shared
 
 LETTERS, DIGITS = r"[^\W\d_]+", r"\d+"
+#: Tasks a core for cutting texts.
+PER_CORE = 4
 
 
 def _spaced(text):
@@ -23,25 +25,42 @@ def _unspaced(text):
 
 def _model(spark, sf_dir):
     """Words that occur at least three times in documents; others are left to the hidden model."""
-    return seg.segmenter(read(spark, sf_dir, "documents").select(_spaced(F.col("text")).alias("words")), 3, LETTERS, DIGITS)
+    return seg.segmenter(_spread(spark, sf_dir).select(_spaced(F.col("text")).alias("words")), 3, LETTERS, DIGITS)
 
 
-def _cut(spark, sf_dir, model, table, key, *more):
-    rows = read(spark, sf_dir, table).select(F.col(key).alias("id"), _unspaced(F.col("text")).alias("run_on"), "text", *more)
+def _cut(table, model, key, *more):
+    rows = table.select(F.col(key).alias("id"), _unspaced(F.col("text")).alias("run_on"), "text", *more)
     return rows.withColumn("terms", seg.terms(model, rows, "run_on"))
 
 
+def _spread(spark, sf_dir):
+    """Documents dealt over tasks, however few files they lie in: cutting costs more than moving them."""
+    d = read(spark, sf_dir, "documents")
+    return d.repartition(max(d.rdd.getNumPartitions(), PER_CORE * spark.sparkContext.defaultParallelism), "doc_id")
+
+
 def segmented_terms(spark, sf_dir):
     """The terms of every document, and the share of its different words among them."""
-    d = _cut(spark, sf_dir, _model(spark, sf_dir), "documents", "doc_id")
+    d = _cut(_spread(spark, sf_dir), _model(spark, sf_dir), "doc_id")
     recall = F.round(share_of(F.col("terms"), _spaced(F.col("text"))), 6)
     return d.select(F.col("id").alias("doc_id"), F.size("terms").alias("n_terms"), recall.alias("recall"), F.md5(F.array_join("terms", " ")).alias("terms_md5"))
 
 
+def _kept(spark, sf_dir, model):
+    """The terms of all documents, cut once for index and metrics."""
+
+    def make(path):
+        d = _cut(_spread(spark, sf_dir), model, "doc_id", "source")
+        d.select(F.col("id").alias("chunk_id"), "source", "terms").write.parquet(path)
+
+    path = shared.held(read(spark, sf_dir, "documents"), "segmented-terms", make)
+    return spark.read.schema("chunk_id long, source string, terms array<string>").parquet(path)
+
+
 def _hits(spark, sf_dir, model, k):
-    build = lambda path: SparseIndex(spark, path).build(_cut(spark, sf_dir, model, "documents", "doc_id", "source").select(F.col("id").alias("chunk_id"), "source", "terms"))
+    build = lambda path: SparseIndex(spark, path).build(_kept(spark, sf_dir, model))
     index = SparseIndex(spark, shared.held(read(spark, sf_dir, "documents"), "segmented-index", build))
-    asked = _cut(spark, sf_dir, model, "benchmark", "item_id").select(F.col("id").alias("query_id"), "terms")
+    asked = _cut(read(spark, sf_dir, "benchmark"), model, "item_id").select(F.col("id").alias("query_id"), "terms")
     return index.search(retrieval.term_counts(asked, "query_id", F.col("terms")), k)
 
 
@@ -53,11 +72,11 @@ def segmented_metrics(spark, sf_dir):
     """The overlap metrics on terms of two characters or more: an item, its best hit as answer, the next three as contexts."""
     model = _model(spark, sf_dir)
     hits = _hits(spark, sf_dir, model, 4)
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), _unspaced(F.col("text")).alias("run_on")).join(hits, "chunk_id")
-    d = d.select(F.col("query_id").alias("id"), "rank", seg.telling(seg.terms(model, d, "run_on")).alias("t"))
+    d = _kept(spark, sf_dir, model).join(hits, "chunk_id")
+    d = d.select(F.col("query_id").alias("id"), "rank", seg.telling(F.col("terms")).alias("t"))
     rest = F.array_sort(F.collect_list(F.when(F.col("rank") > 1, F.struct("rank", "t"))))
     per = d.groupBy("id").agg(F.max(F.when(F.col("rank") == 1, F.col("t"))).alias("answer"), F.transform(rest, lambda v: v["t"]).alias("contexts"))
-    q = _cut(spark, sf_dir, model, "benchmark", "item_id").select("id", seg.telling(F.col("terms")).alias("question"))
+    q = _cut(read(spark, sf_dir, "benchmark"), model, "item_id").select("id", seg.telling(F.col("terms")).alias("question"))
     return evaluation.overlap_metrics(q.join(per, "id"))
 
 

@@ -117,3 +117,26 @@ def test_query_against_plain_python(spark):
         n = len(plain.terms(re.sub(r"\s+", "", r["text"] or "")))
         assert got[r["doc_id"]]["n_terms"] == n
     assert sum(r["recall"] for r in got.values()) > 0.5 * len(got)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_runs_together_and_alone(seed, monkeypatch):
+    rng = random.Random(seed)
+    lexicon = seg.Lexicon({"".join(rng.choices("ab龘", k=rng.randrange(1, 5))): rng.randrange(1, 4) for _ in range(12)})
+    runs = ["".join(rng.choices("ab龘c", k=rng.randrange(0, 12))) for _ in range(50)]
+    together = lexicon.paths(runs)
+    for run, found in zip(runs, together):
+        assert "".join(found) == run and not run or math.isclose(score(lexicon, found), max(score(lexicon, c) for c in cuts(run)))
+    monkeypatch.setattr(seg, "LONG", 0)
+    assert lexicon.paths(runs) == together
+
+
+def test_tasks_get_arrays_only():
+    sent = seg.Lexicon({f"w{k}": 1 for k in range(1000)}).__getstate__()
+    assert not any(isinstance(v, (dict, set)) for v in sent.values())
+
+
+def test_documents_of_one_file_are_cut_in_many_tasks(spark):
+    from corpusloom.plans import segmentation as plan
+
+    assert plan._spread(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
