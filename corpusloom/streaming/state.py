@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from corpusloom.sources import shared
+
 CLOSED, OPEN, HALF_OPEN = "closed", "open", "half_open"
 FIRST, EVERY, KEPT = 100, 1000, 5000
 
@@ -107,12 +109,21 @@ def replayed(calls: DataFrame, most: int = 3, recovery: int = 30_000) -> DataFra
     pieces = timed.withColumn("fresh", F.coalesce(fresh, F.lit(False)).cast("int"))
     pieces = pieces.withColumn("piece", F.sum("fresh").over(by.rowsBetween(W.unboundedPreceding, 0)) - F.col("fresh"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, breaker = rows.sort_values(["at", "event_id"]), Breaker(most, recovery)
-        steps = [breaker.call(at, ok) for at, ok in zip(rows["at"].tolist(), rows["ok"].tolist(), strict=True)]
-        return pd.DataFrame(steps, columns=["before", "allowed", "after"]).assign(service=rows["service"].to_numpy(), event_id=rows["event_id"].to_numpy())
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        breaker, held = Breaker(most, recovery), None
+        for rows in batches:
+            steps = []
+            keys = zip(rows["service"].tolist(), rows["piece"].tolist(), strict=True)
+            for key, at, ok in zip(keys, rows["at"].tolist(), rows["ok"].tolist(), strict=True):
+                if key != held:
+                    breaker, held = Breaker(most, recovery), key
+                steps.append(breaker.call(at, ok))
+            out = pd.DataFrame(steps, columns=["before", "allowed", "after"])
+            yield pd.DataFrame({"service": rows["service"].to_numpy(), "event_id": rows["event_id"].to_numpy(), **out})
 
-    return pieces.groupBy("service", "piece").applyInPandas(run, _STEP)
+    # a task goes through all its pieces row by row and holds one breaker
+    dealt = pieces.repartition(calls.sparkSession.sparkContext.defaultParallelism * 4, "service", "piece")
+    return dealt.sortWithinPartitions("service", "piece", "at", "event_id").mapInPandas(run, _STEP)
 
 
 def at_share(values: list[float], share: float, low: float, high: float) -> float:
@@ -160,20 +171,39 @@ def thresholds(values: DataFrame, share: float, low: float = 0.0, high: float =
     )
 
 
+def _numbered(values: DataFrame) -> DataFrame:
+    """(name, value, k, count): places from 1 in order of event_id and values of the name.
+
+    Rows are numbered within ranges of name and event_id, and what lies before a range is added,
+    so no task holds a name. The ranges are written, since their bounds come from a sample.
+    """
+    spark = values.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = shared.fresh_dir(spark, "ranges")
+    ranged = values.select("name", "event_id", "value").repartitionByRange(ranges, "name", "event_id").withColumn("range", F.spark_partition_id())
+    ranged.write.parquet(kept)
+    rows = spark.read.schema(ranged.schema).parquet(kept)
+    sizes = rows.groupBy("name", "range").agg(F.count("*").alias("size"))  # a row a range and border
+    of = W.partitionBy("name")
+    before = F.sum("size").over(of.orderBy("range").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
+    places = sizes.select(F.col("name").alias("of_name"), F.col("range").alias("of_range"), before.alias("before"), F.sum("size").over(of).alias("count"))
+    nth = rows.withColumn("nth", F.row_number().over(W.partitionBy("name", "range").orderBy("event_id")))
+    met = nth.join(places, F.col("name").eqNullSafe(F.col("of_name")) & (F.col("range") == F.col("of_range")))
+    return met.select("name", "value", (F.col("nth") + F.col("before")).alias("k"), "count")
+
+
 def settings(values: DataFrame, share: float, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """The batch form of ``thresholds`` without forced rows: a row for each time a name's threshold is set.
 
     Each value goes to the at most six settings that use it; a setting uses at most KEPT + EVERY.
     """
-    n = F.row_number().over(W.partitionBy("name").orderBy("event_id"))
-    numbered = values.select("name", "value", n.cast("long").alias("k"))
+    numbered = _numbered(values)
     # settings come at FIRST, FIRST + EVERY, ...; the j-th (from 0) uses what came after the KEPT newest of the one before
     first = F.greatest(F.lit(0), F.ceil((F.col("k") - FIRST) / EVERY))
-    count = F.max("k").over(W.partitionBy("name"))
     whole = F.floor((F.lit(KEPT) - FIRST) / EVERY)  # up to this one nothing is left out
     last = F.greatest(whole, F.floor((F.col("k") - 1 - FIRST + KEPT) / EVERY) + 1)
     last = F.least(last, F.floor((F.col("count") - FIRST) / EVERY))
-    used = numbered.withColumn("count", count).filter((F.col("count") >= FIRST) & (first <= last))
+    used = numbered.filter((F.col("count") >= FIRST) & (first <= last))
     used = used.select("name", "value", F.explode(F.sequence(first, last)).alias("j"))
     by = W.partitionBy("name", "j")
     ranked = used.withColumns({"at": F.row_number().over(by.orderBy("value")) - 1, "size": F.count("*").over(by)})

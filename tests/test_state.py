@@ -126,3 +126,19 @@ def test_forced_settings(rocks, tmp_path):
     parts = [[("a", 1, None, True), ("a", 2, 0.5, False)], [("a", 3, 0.75, False), ("a", 4, None, True), ("a", 5, 0.9, False)]]
     got = streamed(rocks, tmp_path, parts, VALUES, lambda df: state.thresholds(df, 0.5))
     assert [tuple(r) for r in got] == [("a", 2, 0.75)]
+
+
+def test_replay_makes_no_frame_a_piece(spark):
+    rows = [("s", 1_700_000_000_000 + k * HOUR, k, True) for k in range(3000)]  # each call begins a piece
+    frame = state.replayed(spark.createDataFrame(timed(rows), CALLS))
+    assert "FlatMapGroupsInPandas" not in frame._jdf.queryExecution().toString()
+    assert {tuple(r)[2:] for r in frame.collect()} == {("closed", True, "closed")}
+
+
+def test_no_window_holds_a_name(spark):
+    values = spark.range(2500).selectExpr("'a' AS name", "id AS event_id", "cast(id % 97 AS double) AS value")
+    got = sorted(tuple(r) for r in state._numbered(values).select("k", "count", "value").collect())
+    assert got == [(k + 1, 2500, float(k % 97)) for k in range(2500)]
+    plan = state.settings(values, 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if "Window [" in x and "row_number()" in x]
+    assert windows and all("range#" in x or "j#" in x for x in windows)
