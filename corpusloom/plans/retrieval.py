@@ -13,6 +13,7 @@ from corpusloom.sources import shared
 
 K = 10
 FILLERS = ("the", "and", "of", "to")
+TERMS = tokens(F.col("text"))
 
 
 def _queries(spark, sf_dir):
@@ -23,17 +24,13 @@ def _docs(spark, sf_dir):
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source", "text")
 
 
-def _with_terms(docs):
-    return docs.select("chunk_id", "source", tokens(F.col("text")).alias("terms"))
-
-
 def _asked(spark, sf_dir):
     return r.term_counts(_queries(spark, sf_dir), "query_id", tokens(F.col("question")))
 
 
 def _index(spark, sf_dir):
     """The index of all documents, built by the first query of a session that needs it."""
-    build = lambda path: SparseIndex(spark, path).build(_with_terms(_docs(spark, sf_dir)))
+    build = lambda path: SparseIndex(spark, path).build(_docs(spark, sf_dir), TERMS)
     return SparseIndex(spark, shared.held(read(spark, sf_dir, "documents"), "documents-index", build))
 
 
@@ -47,19 +44,19 @@ def index_update(spark, sf_dir):
     changed, last = F.coalesce(F.md5("source") < "8", F.lit(True)), d.agg(F.max("source")).first()[0]
     index = SparseIndex(spark, shared.fresh_dir(spark, "index-update"))
     half = F.when(changed, F.expr("left(text, length(text) div 2)")).otherwise(F.col("text"))
-    index.build(_with_terms(d.withColumn("text", half)))
-    index.update(_with_terms(d.filter(changed & F.coalesce(F.col("source") != last, F.lit(True)))), d.filter(changed | (F.col("source") == last)).select("source"))
+    index.build(d.withColumn("text", half), TERMS)
+    index.update(d.filter(changed & F.coalesce(F.col("source") != last, F.lit(True))), d.filter(changed | (F.col("source") == last)).select("source"), TERMS)
     return index.search(_asked(spark, sf_dir), K).select("query_id", "chunk_id", "rank")
 
 
 def index_merged(spark, sf_dir):
     """An index grown source by source group and merged into one segment."""
-    d = _with_terms(_docs(spark, sf_dir))
+    d = _docs(spark, sf_dir)
     part = F.when(F.md5("source") < "5", 0).when(F.md5("source") < "a", 1).otherwise(2)
     index = SparseIndex(spark, shared.fresh_dir(spark, "index-merged"))
-    index.build(d.filter(part == 0))
+    index.build(d.filter(part == 0), TERMS)
     for k in (1, 2):
-        index.update(d.filter(part == k), d.filter(part == k).select("source"))
+        index.update(d.filter(part == k), d.filter(part == k).select("source"), TERMS)
     index.merge()
     return index.search(_asked(spark, sf_dir), K).select("query_id", "chunk_id", "rank")
 

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.operators import retrieval, sparse_index
 from corpusloom.operators.sparse_index import SparseIndex
@@ -143,3 +144,35 @@ def test_index_of_nothing(spark, tmp_path):
 
 def test_shards_stay_small():
     assert sparse_index.SHARD <= 1 << 14  # a task holds the postings of a shard for a chunk of queries
+
+
+def records_moved(spark):
+    sc = spark.sparkContext
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_a_build_moves_documents_not_their_words(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    docs = {k: ("s", rng.choices([f"w{j}" for j in range(60)], k=1000)) for k in range(40)}
+    # parts end within a task's documents, too
+    monkeypatch.setattr(sparse_index, "PACK", 1500)
+    index, before = SparseIndex(spark, f"file://{tmp_path}"), records_moved(spark)
+    index.build(frame(spark, docs))
+    assert records_moved(spark) - before < 10_000
+    assert hits(index.search(asked(spark, questions()), 5)) == brute(docs, questions(), 5)
+    # terms made where a document was dealt to
+    texts = spark.createDataFrame([(i, s, " ".join(t)) for i, (s, t) in docs.items()], "chunk_id long, source string, text string")
+    again = SparseIndex(spark, f"file://{tmp_path}/again")
+    again.build(texts, F.split("text", " "))
+    assert hits(again.search(asked(spark, questions()), 5)) == brute(docs, questions(), 5)
+
+
+def test_postings_of_null_and_empty_lists(spark, tmp_path):
+    rows = [(1, "s", ["a", None, "a"]), (2, None, None), (3, "s", []), (4, "t", ["b"])]
+    index = SparseIndex(spark, f"file://{tmp_path}")
+    index.build(spark.createDataFrame(rows, "chunk_id long, source string, terms array<string>"))
+    found = index._postings([index.log()[0]["segment"]]).select("term", "chunk_id", "tf", "length").collect()
+    assert sorted(map(tuple, found)) == [("a", 1, 2, 3), ("b", 4, 1, 1)]
+    assert (index.log()[0]["docs"], index.log()[0]["words"]) == (4, 4)
