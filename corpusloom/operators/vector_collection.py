@@ -19,10 +19,13 @@ smaller id; a query doesn't find the row of its own id.
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
@@ -33,12 +36,25 @@ _ROWS = "chunk_id long, v array<double>, batch string, list int"
 _LOG = "seq int, batch string, kind string, rows long"
 
 
+def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column(1)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        x = lists.flatten().to_numpy(zero_copy_only=False)  # null components are NaN
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        with np.errstate(over="ignore", invalid="ignore"):
+            norm = np.sqrt(np.bincount(row, weights=x * x, minlength=len(sizes)))  # squares add up in order
+            good = (np.bincount(row, weights=~np.isfinite(x), minlength=len(sizes)) == 0) & (norm > 0)
+            kept = good[row]
+            v = x[kept] / norm[row[kept]]
+        ends = np.concatenate([[0], np.cumsum(sizes[good])]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), pa.ListArray.from_arrays(pa.array(ends), pa.array(v))], [batch.schema.names[0], "v"])
+
+
 def units(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, v) with vectors of length 1."""
-    sound = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    whole = rows.select(key, F.col(vector).cast("array<double>").alias("w")).filter(F.col("w").isNotNull() & F.forall("w", sound))
-    norm = F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x))
-    return whole.withColumn("norm", norm).filter("norm > 0").select(key, F.transform("w", lambda x: x / F.col("norm")).alias("v"))
+    told = rows.select(key, F.col(vector).cast("array<double>").alias("w"))
+    return told.mapInArrow(_unit_rows, f"{key} {told.schema[key].dataType.simpleString()}, v array<double>")
 
 
 def _matrix(v: pd.Series, dim: int) -> np.ndarray:
@@ -84,8 +100,8 @@ def centres_of(rows: DataFrame, lists: int, rounds: int = 5) -> np.ndarray:
     return centres
 
 
-def best_of_lists(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, rank, score) of the k highest inner products of queries and rows of the same list.
+def best_of_lists(queries: DataFrame, rows: DataFrame, k: int, keep_list: bool = False) -> DataFrame:
+    """(query_id, chunk_id, rank, score, and list if wanted) of the k highest inner products of queries and rows of the same list.
 
     queries: (query_id, v, list); rows: (chunk_id, v, list); vectors of a list have one length. Lists
     are few, and their sizes are collected.
@@ -94,7 +110,7 @@ def best_of_lists(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     chunk = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // CHUNK)))).cast("int")
     sizes = {r["list"]: max(1, -(-r["count"] // PIECE)) for r in rows.groupBy("list").count().collect()}
     if not sizes:
-        return rows.sparkSession.createDataFrame([], "query_id long, chunk_id long, rank int, score double")
+        return rows.sparkSession.createDataFrame([], f"query_id long, chunk_id long, rank int, score double{', list int' if keep_list else ''}")
     pieces = F.coalesce(F.create_map(*[F.lit(x) for s in sizes.items() for x in s])[F.col("list")], F.lit(1))
     stripes = rows.withColumn("piece", F.pmod(F.xxhash64("chunk_id"), pieces).cast("int"))
     chunks = queries.withColumn("chunk", chunk)
@@ -105,7 +121,7 @@ def best_of_lists(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": [], "list": []})
         dim, ids = len(b["v"].iloc[0]), b["chunk_id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], _matrix(b["v"], dim)[order]
@@ -113,12 +129,12 @@ def best_of_lists(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
         scores[a["query_id"].to_numpy()[:, None] == ids[None]] = -np.inf
         top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         row = np.repeat(np.arange(len(a)), top.shape[1])
-        out = pd.DataFrame({"query_id": a["query_id"].to_numpy()[row], "chunk_id": ids[top.ravel()], "score": scores[row, top.ravel()]})
+        out = pd.DataFrame({"query_id": a["query_id"].to_numpy()[row], "chunk_id": ids[top.ravel()], "score": scores[row, top.ravel()], "list": b["list"].iloc[0]})
         return out[out["score"] > -np.inf]
 
-    found = left.cogroup(right).applyInPandas(best, "query_id long, chunk_id long, score double")
+    found = left.cogroup(right).applyInPandas(best, "query_id long, chunk_id long, score double, list int")
     nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return found.withColumn("rank", nth).filter(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "score")
+    return found.withColumn("rank", nth).filter(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "score", *(["list"] if keep_list else []))
 
 
 class VectorCollection:
@@ -225,18 +241,61 @@ class VectorCollection:
         met = sorted(r["list"] for r in routed.select("list").distinct().collect())  # lists at most
         return best_of_lists(routed, self.rows(met), k)
 
+    def _found_by(self, queries: DataFrame, k: int) -> DataFrame:
+        """(query_id, chunk_id, probe): the exact k best, and the number of lists to probe until theirs is read.
+
+        A row among the k best of all lists is among the k best of any lists with its own, so one
+        exact search tells what every number of probes finds.
+        """
+        centres = self.centres()
+        if not len(centres):
+            return self.spark.createDataFrame([], "query_id long, chunk_id long, probe int")
+        dim = centres.shape[1]
+
+        def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield b[["query_id"]].assign(lists=list(_nearest(_matrix(b["v"], dim), centres, len(centres))))
+
+        asked = units(queries, "query_id", "q").filter(F.size("v") == dim).distinct()
+        near = asked.mapInPandas(order, "query_id long, lists array<int>")
+        found = best_of_lists(asked.withColumn("list", F.explode(F.array(*[F.lit(n) for n in range(len(centres))]))), self.rows(), k, keep_list=True)
+        return found.join(near, "query_id").select("query_id", "chunk_id", F.array_position("lists", F.col("list")).cast("int").alias("probe"))
+
     def recall(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
         """(query_id, recall): the share of the exact k best that ``probes`` lists give."""
-        found = self.search(queries, k, probes).select("query_id", "chunk_id", F.lit(1).alias("hit"))
-        exact = self.search(queries, k).select("query_id", "chunk_id")
-        return exact.join(found, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
+        return _recall(self._found_by(queries, k), probes)
 
     def probes_for(self, queries: DataFrame, k: int, wanted: float, sample: int = 256) -> int:
         """The fewest probes, by halving, whose mean recall on ``sample`` queries reaches ``wanted``."""
         some = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(sample)
+        return self._fewest(self._found_by(some, k), wanted)
+
+    def recall_at(self, queries: DataFrame, k: int, wanted: float, sample: int = 256) -> DataFrame:
+        """(query_id, recall, probes): what ``probes_for`` and then ``recall`` give, from one exact search of all queries.
+
+        The hits, k a query, are kept below ``path``.
+        """
+        at = f"{self.path}/measured/{uuid.uuid4().hex}"
+        self._found_by(queries, k).write.parquet(at)
+        found = self.spark.read.schema("query_id long, chunk_id long, probe int").parquet(at)
+        some = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(sample).select("query_id").distinct()
+        probes = self._fewest(found.join(some, "query_id", "left_semi"), wanted)
+        return _recall(found, probes).withColumn("probes", F.lit(probes))
+
+    def _fewest(self, found: DataFrame, wanted: float) -> int:
+        # a row a query and number of probes
+        counts = found.groupBy("query_id", "probe").agg(F.count("*").alias("n")).collect()
         low, high = 1, max(1, len(self.centres()))
         while low < high:
             middle = (low + high) // 2
-            reached = self.recall(some, k, middle).agg(F.avg("recall")).first()[0] or 0.0
+            every, hit = Counter(), Counter()
+            for r in counts:
+                every[r["query_id"]] += r["n"]
+                hit[r["query_id"]] += r["n"] * (r["probe"] <= middle)
+            reached = sum(round(hit[q] / n, 6) for q, n in every.items()) / len(every) if every else 0.0
             low, high = (low, middle) if reached >= wanted else (middle + 1, high)
         return low
+
+
+def _recall(found: DataFrame, probes: int) -> DataFrame:
+    return found.groupBy("query_id").agg(F.round(F.avg((F.col("probe") <= probes).cast("int")), 6).alias("recall"))

@@ -40,9 +40,7 @@ def collection_exact(spark, sf_dir):
 
 def collection_recall(spark, sf_dir):
     """Recall of every query with the fewest probes that reach WANTED on a sample."""
-    c, asked = _collection(spark, sf_dir), _asked(spark, sf_dir)
-    probes = c.probes_for(asked, K, WANTED)
-    return c.recall(asked, K, probes).withColumn("probes", F.lit(probes))
+    return _collection(spark, sf_dir).recall_at(_asked(spark, sf_dir), K, WANTED)
 
 
 def collection_info(spark, sf_dir):

@@ -91,3 +91,22 @@ def test_empty_collection(spark, tmp_path):
     assert c.info().collect()[0]["n"] == 1
     c.drop()
     assert not tmp_path.exists()
+
+
+def test_recall_at_is_what_searches_find_from_one_exact_search(spark, tmp_path, monkeypatch):
+    rows = clustered(150, 4)
+    c = VectorCollection(spark, f"file://{tmp_path}")
+    c.create(frame(spark, rows), 12)
+    some = frame(spark, {i: rows[i] for i in list(rows)[:20]} | {7: [0.0] * 8}, "query_id", "q")
+    calls, best = [], vector_collection.best_of_lists
+    monkeypatch.setattr(vector_collection, "best_of_lists", lambda *a, **b: calls.append(1) or best(*a, **b))
+    got = {r["query_id"]: (r["recall"], r["probes"]) for r in c.recall_at(some, 20, 0.9, sample=8).collect()}
+    assert len(calls) == 1
+    probes = {p for _, p in got.values()}.pop()
+    exact = {h[:2] for h in hits(c.search(some, 20))}
+    for n in (probes - 1, probes):
+        found = {h[:2] for h in hits(c.search(some, 20, n))} if n else set()
+        share = {q: round(sum(h in found for h in exact if h[0] == q) / 20, 6) for q in got}
+        if n == probes:
+            assert {q: r for q, (r, _) in got.items()} == share
+    assert c.probes_for(some, 20, 0.9, sample=8) == probes
