@@ -35,7 +35,8 @@ def _index(spark, sf_dir):
 
 
 def _bm25(spark, sf_dir, k=K):
-    return _index(spark, sf_dir).search(_asked(spark, sf_dir), k)
+    """The k best documents of each item: searched once however often a query reads them, and small enough to meet texts without moving these."""
+    return shared.kept(_index(spark, sf_dir).search(_asked(spark, sf_dir), k), "bm25-hits")
 
 
 def index_update(spark, sf_dir):
@@ -95,7 +96,8 @@ def dense_topk_filtered(spark, sf_dir):
 def _text_dense(spark, sf_dir, k):
     """The dense leg of every benchmark item: vectors of its words against those of all documents."""
     asked = hashed_vectors(_queries(spark, sf_dir), "query_id", tokens(F.col("question"))).withColumnRenamed("v", "q")
-    known = hashed_vectors(_docs(spark, sf_dir), "chunk_id", tokens(F.col("text")))
+    make = lambda path: hashed_vectors(_docs(spark, sf_dir), "chunk_id", TERMS).write.parquet(path)
+    known = spark.read.parquet(shared.held(read(spark, sf_dir, "documents"), "documents-vectors", make))
     # numbers of items and documents overlap, and a row of a query's own number would be left out
     best = r.dense_top_k(asked.withColumn("query_id", -1 - F.col("query_id")), known, k)
     return best.withColumn("query_id", -1 - F.col("query_id"))

@@ -32,6 +32,13 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
+def kept(rows: DataFrame, label: str) -> DataFrame:
+    """Rows written once to a new folder and reread, for few rows that several steps read or that meet a large table."""
+    path = fresh_dir(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def file_state(table: DataFrame) -> str:
     """A digest of the files a table is read from: names, sizes and times."""
     m = "_metadata"

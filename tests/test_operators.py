@@ -113,3 +113,14 @@ def test_hashed_vectors(spark):
             digest = hashlib.md5(t_.encode()).hexdigest()
             want.setdefault(i, [0.0] * 16)[int(digest[:2], 16) % 16] += 1.0 if digest[2] < "8" else -1.0
     assert got == want
+
+
+def test_hashed_vectors_move_rows_not_words(spark):
+    from corpusloom.functions.vectors import hashed_vectors
+    from tests.test_sparse_index import records_moved
+
+    texts = spark.createDataFrame([(n, [f"w{k}" for k in range(500)]) for n in range(40)], "id long, terms array<string>")
+    before = records_moved(spark)
+    assert hashed_vectors(texts, "id", F.col("terms")).count() == 40
+    assert hashed_vectors(texts, "id", F.col("terms")).filter("size(v) = 64").count() == 40
+    assert records_moved(spark) - before <= 200

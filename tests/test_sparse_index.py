@@ -176,3 +176,10 @@ def test_postings_of_null_and_empty_lists(spark, tmp_path):
     found = index._postings([index.log()[0]["segment"]]).select("term", "chunk_id", "tf", "length").collect()
     assert sorted(map(tuple, found)) == [("a", 1, 2, 3), ("b", 4, 1, 1)]
     assert (index.log()[0]["docs"], index.log()[0]["words"]) == (4, 4)
+
+
+def test_a_query_that_reads_hits_twice_searches_once(spark, monkeypatch):
+    from corpusloom.plans import retrieval as plans
+
+    plan = plans.answer_overlap(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan
