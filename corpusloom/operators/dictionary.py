@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ IDEOGRAPHS = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF))
 
 PART_CHARS = 1 << 23  # characters of keywords that a task holds at a time; larger dictionaries take a pass for each part
 SLICE = 1 << 18  # characters hashed at a time
+RUN_CHARS = 1 << 20  # characters of whole texts that a task takes apart at a time, or one longer text
 HIT_TYPE = "kind string, keyword string, canonical string, start long, stop long"
 _BITS = 20
 
@@ -190,6 +192,16 @@ class Longest:
         return good[row]
 
 
+def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, stop) of stretches of texts with RUN_CHARS characters at most, or of one longer text."""
+    ends, at = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + RUN_CHARS, side="right")))
+        yield at, stop
+        at = stop
+
+
 def _batch_hits(words: Words, rule, ids: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
     texts = texts.to_pylist()
     sizes = np.array([len(t or "") for t in texts], dtype=np.int64)
@@ -217,9 +229,11 @@ def scan_words(texts: DataFrame, words: Words, rule=None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if rule is not None:
-                rule.start(held.value)
-            yield from _batch_hits(held.value, rule, batch.column(0), batch.column(1))
+            # a batch's size is Spark's; its characters taken apart fill many times their room
+            for a, b in _runs(batch.column(1)):
+                if rule is not None:
+                    rule.start(held.value)
+                yield from _batch_hits(held.value, rule, batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a))
 
     known = texts.select("id", "text")
     return known.mapInArrow(run, f"id {known.schema['id'].dataType.simpleString()}, {HIT_TYPE}")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusloom.operators import dictionary as d
@@ -82,3 +83,24 @@ def test_unsupported_words(spark):
     answers = spark.createDataFrame([(1, "aspirin or ibuprofen"), (2, "aspirin")], "id long, text string")
     sources = spark.createDataFrame([(1, 10, "about aspirin"), (1, 11, None)], "id long, doc_id long, text string")
     assert [tuple(r) for r in d.unsupported(answers, sources, words).collect()] == [(1, "ibuprofen")]
+
+
+def test_a_batch_is_taken_apart_in_runs(spark, monkeypatch):
+    sizes, inner = [], d._batch_hits
+    texts = pa.array(["then and " * 20, None, "", "then " * 200, *["and then"] * 50])
+    monkeypatch.setattr(d, "RUN_CHARS", 200)
+    for first, stop in d._runs(texts):
+        sizes.append(sum(len(t or "") for t in texts.slice(first, stop - first).to_pylist()))
+    assert sum(sizes) == sum(len(t or "") for t in texts.to_pylist())
+    assert sorted(sizes)[-1] == 1000 and sorted(sizes)[-2] <= 200
+    # runs give what the batch gives whole, also where a longer hit of one text must not cover the next text
+    words = d.Words([("", w, w, "", "") for w in ("then", "and", "and then")])
+    ids, rule = pa.array(range(len(texts))), d.Longest()
+    rows = lambda parts: sorted(tuple(r.values()) for p in parts for r in p.to_pylist())
+    rule.start(words)
+    whole = rows(inner(words, rule, ids, texts))
+    got = []
+    for a, b in d._runs(texts):
+        rule.start(words)
+        got += list(inner(words, rule, ids.slice(a, b - a), texts.slice(a, b - a)))
+    assert rows(got) == whole and whole
