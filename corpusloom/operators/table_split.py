@@ -3,6 +3,7 @@
 A table begins, in a run of adjacent lines between bars, at the first line that a separator line
 follows, and goes on to the end of the run; lines of the run before it are prose. All steps are
 windows over a document's lines. Segments of a document, joined by line breaks, give it back.
+Documents are dealt over tasks of about TASK_CHARS, so a task's windows don't grow with the input.
 
 Defined cases: null text is one empty line of prose; a table whose head is a separator or that
 has no row besides separators is kept whole; its last separator line stands in every chunk; a
@@ -19,6 +20,7 @@ from corpusloom.operators.chunking import lines
 
 ROW = r"^\s*\|.+\|\s*$"
 SEPARATOR = r"^\s*\|[\s\-:]+\|[\s\-:|]*\|\s*$"
+TASK_CHARS = 1 << 21
 ABOVE = 9
 SHOWN = 3
 #: Heads of the first column that tell a table of comparisons, whose columns are the things compared.
@@ -28,7 +30,9 @@ DIMENSIONS = ("项目", "症状", "指标", "参数", "类型", "特征", "区
 def marked_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, n, line, is_row, is_sep, head): head is the first line of the table that a line belongs to."""
     in_doc = W.partitionBy("doc_id").orderBy("n")
-    rows = lines(docs).withColumns({"is_row": F.col("line").rlike(ROW), "is_sep": F.col("line").rlike(SEPARATOR)})
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    dealt = docs.select("doc_id", "text").repartition(max(1, -(-chars // TASK_CHARS)), "doc_id")
+    rows = lines(dealt).withColumns({"is_row": F.col("line").rlike(ROW), "is_sep": F.col("line").rlike(SEPARATOR)})
     # lines of a run share the number of other lines before them
     rows = rows.withColumn("run", F.sum((~F.col("is_row")).cast("int")).over(in_doc.rowsBetween(W.unboundedPreceding, 0)))
     follows = F.lead("is_sep").over(in_doc) & F.col("is_row") & (F.lead("run").over(in_doc) == F.col("run"))
