@@ -13,7 +13,6 @@ from corpusloom.sources import shared
 
 K = 10
 FILLERS = ("the", "and", "of", "to")
-TERMS = tokens(F.col("text"))
 
 
 def _queries(spark, sf_dir):
@@ -24,13 +23,17 @@ def _docs(spark, sf_dir):
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source", "text")
 
 
+def _terms():
+    return tokens(F.col("text"))
+
+
 def _asked(spark, sf_dir):
     return r.term_counts(_queries(spark, sf_dir), "query_id", tokens(F.col("question")))
 
 
 def _index(spark, sf_dir):
     """The index of all documents, built by the first query of a session that needs it."""
-    build = lambda path: SparseIndex(spark, path).build(_docs(spark, sf_dir), TERMS)
+    build = lambda path: SparseIndex(spark, path).build(_docs(spark, sf_dir), _terms())
     return SparseIndex(spark, shared.held(read(spark, sf_dir, "documents"), "documents-index", build))
 
 
@@ -45,8 +48,8 @@ def index_update(spark, sf_dir):
     changed, last = F.coalesce(F.md5("source") < "8", F.lit(True)), d.agg(F.max("source")).first()[0]
     index = SparseIndex(spark, shared.fresh_dir(spark, "index-update"))
     half = F.when(changed, F.expr("left(text, length(text) div 2)")).otherwise(F.col("text"))
-    index.build(d.withColumn("text", half), TERMS)
-    index.update(d.filter(changed & F.coalesce(F.col("source") != last, F.lit(True))), d.filter(changed | (F.col("source") == last)).select("source"), TERMS)
+    index.build(d.withColumn("text", half), _terms())
+    index.update(d.filter(changed & F.coalesce(F.col("source") != last, F.lit(True))), d.filter(changed | (F.col("source") == last)).select("source"), _terms())
     return index.search(_asked(spark, sf_dir), K).select("query_id", "chunk_id", "rank")
 
 
@@ -55,9 +58,9 @@ def index_merged(spark, sf_dir):
     d = _docs(spark, sf_dir)
     part = F.when(F.md5("source") < "5", 0).when(F.md5("source") < "a", 1).otherwise(2)
     index = SparseIndex(spark, shared.fresh_dir(spark, "index-merged"))
-    index.build(d.filter(part == 0), TERMS)
+    index.build(d.filter(part == 0), _terms())
     for k in (1, 2):
-        index.update(d.filter(part == k), d.filter(part == k).select("source"), TERMS)
+        index.update(d.filter(part == k), d.filter(part == k).select("source"), _terms())
     index.merge()
     return index.search(_asked(spark, sf_dir), K).select("query_id", "chunk_id", "rank")
 
@@ -96,7 +99,7 @@ def dense_topk_filtered(spark, sf_dir):
 def _text_dense(spark, sf_dir, k):
     """The dense leg of every benchmark item: vectors of its words against those of all documents."""
     asked = hashed_vectors(_queries(spark, sf_dir), "query_id", tokens(F.col("question"))).withColumnRenamed("v", "q")
-    make = lambda path: hashed_vectors(_docs(spark, sf_dir), "chunk_id", TERMS).write.parquet(path)
+    make = lambda path: hashed_vectors(_docs(spark, sf_dir), "chunk_id", _terms()).write.parquet(path)
     known = spark.read.parquet(shared.held(read(spark, sf_dir, "documents"), "documents-vectors", make))
     # numbers of items and documents overlap, and a row of a query's own number would be left out
     best = r.dense_top_k(asked.withColumn("query_id", -1 - F.col("query_id")), known, k)
